@@ -61,12 +61,11 @@ def global_row_number(
         Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = pieces.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    join_on = [ranged[c].eqNullSafe(offsets[c]) for c in ("_part", *within)]
-    condition = join_on[0]
-    for extra in join_on[1:]:
-        condition = condition & extra
-    shifted = ranged.join(F.broadcast(offsets), condition, "inner")
-    return shifted.select(
-        *[ranged[c] for c in df.columns],
-        (ranged["_mid"] - F.col("_start") + F.col("_before") + 1).alias(out),
+    side = offsets.select(
+        F.struct("_part", *within).alias("_piece"), (F.col("_before") - F.col("_start") + 1).alias("_shift")
+    )
+    return (
+        ranged.withColumn("_piece", F.struct("_part", *within))
+        .join(F.broadcast(side), "_piece")
+        .select(*df.columns, (F.col("_mid") + F.col("_shift")).alias(out))
     )

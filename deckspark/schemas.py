@@ -50,6 +50,20 @@ DECKS = (
 
 DECK_CARDS = "format string, moxfield_id string, card_id int, board string, quantity int"
 
+# Logs the streams append to, one folder per micro-batch.
+STUB_LOG = (
+    "moxfield_id string, name string, format string, author string, color_mask int, "
+    "created_at_utc timestamp, updated_at_utc timestamp, scraped_at timestamp, "
+    "sweep_card string, sweep_format string, page int, seq bigint, pos int, batch bigint"
+)
+
+SUBMISSION_LOG = (
+    "format string, moxfield_id string, seq bigint, fetched_at timestamp, error boolean, "
+    "card_ids array<int>, commander_ids array<int>, "
+    "bridge array<struct<card_id: int, board: string, pos: int, quantity: int>>, "
+    "unresolved array<string>, n_rows int, batch bigint"
+)
+
 UNKNOWN_CARDS = "ts timestamp, format string, moxfield_id string, card_name string"
 
 # A landed search page: the request it answers, then the envelope as received.

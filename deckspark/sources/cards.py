@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from deckspark.schemas import BULK_MANIFEST, CARD_EXPORT, CORRUPT, with_corrupt
 
@@ -32,13 +33,22 @@ def read_export(spark: SparkSession, path: str, lines: bool = False) -> DataFram
     and go on from there. ``lines`` reads exports split into lines instead,
     which Spark can divide.
     """
-    raw = (
-        spark.read.schema(with_corrupt(CARD_EXPORT))
-        .option("multiLine", not lines)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
+    names = StructType.fromDDL(CARD_EXPORT).fieldNames()
+    # One misfit would mark a whole array as corrupt. Variants take any value, so
+    # the types are checked card by card.
+    loose = spark.read.schema(", ".join(f"{n} variant" for n in names)).option("multiLine", not lines)
+    texts = loose.json(path).select(
+        F.to_json(F.struct(*names)).alias("card"),
+        F.monotonically_increasing_id().alias("ordinal"),
     )
-    return raw.withColumn("ordinal", F.monotonically_increasing_id())
+    return parse_export(texts)
+
+
+def parse_export(texts: DataFrame, card: str = "card") -> DataFrame:
+    """Card objects from a column of JSON texts; misfits keep their text aside."""
+    schema = with_corrupt(CARD_EXPORT)
+    parsed = F.from_json(card, schema, {"columnNameOfCorruptRecord": CORRUPT})
+    return texts.select(parsed.alias("_card"), "ordinal").select("_card.*", "ordinal")
 
 
 def land_export(spark: SparkSession, path: str, landed: str, lines: bool = False) -> DataFrame:
