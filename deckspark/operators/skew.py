@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Largest planned size of a side that may be broadcast (bytes, as Catalyst estimates it).
+#: Largest side that may be broadcast, in bytes.
 BROADCAST_BYTES = 32 << 20
-#: Rows of one key from which on the key is joined apart from the others.
+#: Rows of one key from which on the key is cut into pieces of about this size.
 HOT_ROWS = 5_000_000
+#: Pieces for rows whose key is null; they match nothing, wherever they go.
+NULL_PIECES = 4096
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; unknown sizes come out huge, so they are never broadcast."""
+    """Catalyst's size estimate; unknown sizes come out huge."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Size of the values themselves: texts by their length, anything else as one word."""
+    widths = [
+        F.coalesce(F.octet_length(c), F.lit(0)) + 8 if t == "string" else F.lit(8) for c, t in df.dtypes
+    ]
+    return df.agg(F.coalesce(F.sum(reduce(Column.__add__, widths)), F.lit(0))).first()[0]
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the frame is small by estimate or, failing that, by measure."""
+    return planned_bytes(df) <= limit or measured_bytes(df) <= limit
+
+
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
@@ -24,19 +41,40 @@ def lookup_join(
     broadcast_bytes: int = BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join many rows to a table that is unique by ``on``.
+    """Join many rows to a narrow table that is unique by ``on``.
 
     A table within the size limit is broadcast and the rows are not shuffled.
-    A larger one is split: entries of hot keys (at most one per ``hot_rows``
-    rows, so few by construction) are broadcast to the hot rows, which stay
-    where they are; all other keys take an ordinary shuffled join.
+    With a larger one the join is shuffled, and each hot key is cut into pieces
+    of about ``hot_rows`` rows: its table row is repeated once per piece. The
+    list of hot keys has at most one entry per ``hot_rows`` rows.
     """
-    if planned_bytes(table) <= broadcast_bytes:
+    if fits_broadcast(table, broadcast_bytes):
         return rows.join(F.broadcast(table), on, how)
 
-    hot = rows.groupBy(*on).count().filter(F.col("count") >= hot_rows).select(*on)
-    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
-    hot_side = marked.filter("_hot").drop("_hot")
-    cold_side = marked.filter("_hot IS NULL").drop("_hot")
-    hot_table = table.join(F.broadcast(hot), on, "left_semi")
-    return hot_side.join(F.broadcast(hot_table), on, how).unionByName(cold_side.join(table, on, how))
+    hot = (
+        rows.groupBy(*on)
+        .count()
+        .filter(F.col("count") >= hot_rows)
+        .select(*on, F.ceil(F.col("count") / hot_rows).cast("int").alias("_pieces"))
+    )
+    spread_by = F.xxhash64(*rows.columns)
+    no_key = reduce(Column.__or__, [F.col(c).isNull() for c in on])
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt",
+        F.when(no_key, F.pmod(spread_by, F.lit(NULL_PIECES)))
+        .otherwise(F.coalesce(F.pmod(spread_by, F.col("_pieces")), F.lit(0)))
+        .cast("int"),
+    )
+    pieces = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
+    repeated = table.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(pieces))
+    joined = salted.drop("_pieces").join(repeated.drop("_pieces"), [*on, "_salt"], how)
+    return joined.drop("_salt")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on an input that comes in fewer splits than there are.
+
+    Larger inputs, whose scan already has enough tasks, are left as they are.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
