@@ -8,6 +8,7 @@ leases and event logs. Every query reads its tables whole.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +19,10 @@ from deckspark.operators import cards as C
 from deckspark.operators import lifecycle, paging, quality, stats, stubs, submissions, worklist
 from deckspark.operators.ordered import first_per_key, global_row_number
 from deckspark.operators.skew import spread
-from deckspark.schemas import DECK_DETAIL, DECKS, SEARCH_PAGE, STUB_LOG
+from deckspark.schemas import DECKS, STUB_LOG
 from deckspark.session import shared_dir
 from deckspark.sources.cards import parse_export
+from deckspark.sources.landings import read_details, read_pages
 from deckspark.sources.snapshots import SnapshotTable
 from deckspark.streaming.discovery import StubSink, start_stubs
 from deckspark.streaming.logs import BatchLog
@@ -79,8 +81,16 @@ def deck_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).filter("card_name <> ''")
 
 
+def landed(spark: SparkSession, sf_dir: str, name: str, lines: DataFrame) -> str:
+    """Folder with the given JSON lines; written once per application and table folder."""
+    source = hashlib.md5(sf_dir.encode()).hexdigest()
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{source}/{name}"
+    lines.write.mode("ignore").text(folder)
+    return folder
+
+
 def deck_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as landed deck documents: rendered to JSON text and read back."""
+    """``documents`` as deck documents, landed as JSON and read like any landing."""
     docs = texts(spark, sf_dir, "documents", "doc_id", "lang", "n_chars", "text")
     split = docs.withColumn("words", F.expr("transform(split(text, ' '), (w, i) -> struct(i, w))"))
 
@@ -102,7 +112,7 @@ def deck_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("json")
     )
-    return rendered.select(F.from_json("json", DECK_DETAIL).alias("d")).select("d.*")
+    return read_details(spark, landed(spark, sf_dir, "details", rendered))
 
 
 def card_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +156,7 @@ def parsed_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` as landed search pages: a conversation is a sweep, its turns are the
-    pages and the lines of a turn the entries; rendered to JSON and read back."""
+    pages and the lines of a turn the entries; landed as JSON and read like any landing."""
     rendered = table(spark, sf_dir, "conversations").select(
         F.to_json(
             F.struct(
@@ -171,7 +181,7 @@ def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("json")
     )
-    return rendered.select(F.from_json("json", SEARCH_PAGE).alias("p")).select("p.*")
+    return read_pages(spark, landed(spark, sf_dir, "pages", rendered))
 
 
 def order_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
