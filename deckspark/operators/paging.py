@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deckspark.functions.formats import PAGE_SIZE
+from deckspark.operators.skew import lookup_join
+from deckspark.session import shared_dir
 
 SWEEP = ["sweep_card", "sweep_format"]
 
@@ -35,7 +37,7 @@ def new_per_page(
     """Decks that are unknown and turn up for the first time in their sweep, per page."""
     key = key or ["format", "moxfield_id"]
     first_seen = stubs.groupBy(*sweep, *key).agg(F.min("page").alias("page"))
-    unseen = first_seen.join(known.select(*key).distinct(), key, "left_anti")
+    unseen = first_seen.join(known.select(*key), key, "left_anti")
     return unseen.groupBy(*sweep, "page").agg(F.count("*").alias("new_decks"))
 
 
@@ -51,17 +53,20 @@ def cut_pages(
     incremental, at a page without a new deck. As "no earlier page stopped" is
     the same as "not after the least stopping page", this takes a minimum per
     sweep and no window: a sweep of any length is combined before the exchange.
+    The facts per page are checkpointed, as counting new decks went over all
+    entries and is not to be repeated.
     """
+    shared_dir(pages.sparkSession)
     facts = pages.join(new_decks, [*sweep, "page"], "left").withColumn(
         "new_decks", F.coalesce("new_decks", F.lit(0)).cast("long")
-    )
+    ).checkpoint()
     stops = (
         (F.col("page") >= F.col("total_pages"))
         | (F.col("raw_count") < page_size)
         | ((F.col("mode") == "incremental") & (F.col("new_decks") == 0))
     )
     ends = facts.groupBy(*sweep).agg(F.min(F.when(stops, F.col("page"))).alias("last_page"))
-    kept = facts.join(ends, sweep).filter(
+    kept = lookup_join(facts, ends, sweep, "inner").filter(
         F.col("last_page").isNull() | (F.col("page") <= F.col("last_page"))
     )
     sweeps = kept.groupBy(*sweep).agg(
