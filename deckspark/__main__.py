@@ -61,7 +61,7 @@ def info(corpus: Corpus, args: argparse.Namespace) -> None:
 
 
 def discover(corpus: Corpus, args: argparse.Namespace) -> None:
-    sink = StubSink(corpus.found, corpus.stub_log, f"{corpus.root}/rejected_stubs", args.merge_every)
+    sink = StubSink(corpus.found, corpus.stub_log, f"{corpus.root}/broken_pages", args.merge_every)
     pages = read_pages(corpus.spark, args.landing, stream=True, files_per_batch=args.files_per_batch)
     start_discovery(pages, sink, f"{corpus.root}/checkpoints/discover", not args.keep_running).awaitTermination()
 
@@ -70,7 +70,7 @@ def submit(corpus: Corpus, args: argparse.Namespace) -> None:
     require_cards(corpus.cards.read())
     sink = SubmissionSink(
         corpus.cards, corpus.stub_log, corpus.submission_log,
-        f"{corpus.root}/outcomes", f"{corpus.root}/unknown_cards", f"{corpus.root}/rejected_submissions",
+        f"{corpus.root}/outcomes", f"{corpus.root}/unknown_cards",
     )
     details = read_details(corpus.spark, args.landing, stream=True, files_per_batch=args.files_per_batch)
     start_submissions(details, sink, f"{corpus.root}/checkpoints/submit", not args.keep_running).awaitTermination()

@@ -92,7 +92,7 @@ def number_batches(decks: DataFrame, as_of: Column, n: int = BATCH_SIZE) -> Data
     return numbered.select(
         "format",
         "moxfield_id",
-        F.floor((F.col("place") - 1) / n).cast("long").alias("batch"),
+        F.expr(f"(place - 1) DIV {int(n)}").alias("batch"),
     )
 
 

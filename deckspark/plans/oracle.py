@@ -367,6 +367,30 @@ ORACLE_SQL = {
                   OR l_orderkey NOT IN (SELECT o_orderkey FROM orders))
         SELECT 'orders' AS t, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM kept
         UNION ALL SELECT 'lineitem', count(*), CAST(sum(l_orderkey) AS BIGINT) FROM lines""",
+    "seeded_status": _with(PARTS, FANOUT) + """,
+        firsts AS (SELECT card_name, min(p_partkey) AS p FROM parts WHERE card_name <> '' GROUP BY card_name),
+        ids AS (SELECT card_name, p, row_number() OVER (ORDER BY p) AS id FROM firsts)
+        SELECT CAST(id AS INTEGER) AS card_id, card_name, format, FALSE AS swept FROM ids JOIN fanout ON p = card_id""",
+    "unknown_log": _with(VOCABULARY) + """,
+        clean AS (
+            SELECT CASE lang WHEN 'en' THEN 'commander' WHEN 'fr' THEN 'highlanderCanadian' WHEN 'de' THEN 'modern' ELSE 'pauper' END AS format,
+                   unnest(string_split(translate(text, chr(10) || chr(9) || chr(13), '   '), ' ')) AS w FROM documents)
+        SELECT format, count(*) AS lines, count(DISTINCT w) AS names FROM clean
+        WHERE w <> '' AND NOT EXISTS (SELECT 1 FROM vocabulary WHERE card_name = w) GROUP BY format""",
+    "stream_corpus": _with(VOCABULARY, DOC_WORDS) + """,
+        cards AS (
+            SELECT doc_id, CAST(coalesce(sum(greatest(quantity, 1)) FILTER (board <> 'sideboard'), 0) AS INTEGER) AS n_cards,
+                   count(DISTINCT id || board) AS n_rows,
+                   CAST(count(DISTINCT id) FILTER (board = 'commanders') AS INTEGER) AS n_commanders
+            FROM deck_words JOIN vocabulary ON w = card_name GROUP BY doc_id),
+        d AS (
+            SELECT CASE lang WHEN 'en' THEN 'commander' WHEN 'fr' THEN 'highlanderCanadian' WHEN 'de' THEN 'modern' ELSE 'pauper' END AS format,
+                   doc_id, n_chars >= 300 AS ok FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+        SELECT format, CAST(d.doc_id AS VARCHAR) AS moxfield_id, CASE WHEN ok THEN 'done' ELSE 'error' END AS status,
+               CASE WHEN ok AND format IN ('commander', 'highlanderCanadian') THEN coalesce(n_cards, 0) END AS n_cards,
+               CASE WHEN ok AND format IN ('modern', 'pauper') THEN coalesce(n_rows, 0) ELSE 0 END AS n_rows,
+               CASE WHEN ok AND format = 'commander' THEN coalesce(n_commanders, 0) END AS n_commanders
+        FROM d LEFT JOIN cards ON d.doc_id = cards.doc_id""",
     "stream_upsert": """
         SELECT CAST(user_id AS VARCHAR) AS moxfield_id, arg_max(event_type, event_id) AS name, arg_max(props, event_id) AS author,
                'discovered' AS status, CAST(trunc(arg_min(value, event_id) * 100) AS BIGINT) AS created_s,

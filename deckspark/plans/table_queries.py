@@ -19,13 +19,17 @@ from deckspark.operators import cards as C
 from deckspark.operators import lifecycle, paging, quality, stats, stubs, submissions, worklist
 from deckspark.operators.ordered import first_per_key, global_row_number
 from deckspark.operators.skew import spread
-from deckspark.schemas import DECKS, STUB_LOG
+from deckspark.plans.corpus import build_decks
+from deckspark.plans.seed import seed_cards
+from deckspark.schemas import CARD_FORMAT_STATUS, CARDS, DECKS, STUB_LOG, SUBMISSION_LOG
 from deckspark.session import shared_dir
 from deckspark.sources.cards import parse_export
 from deckspark.sources.landings import read_details, read_pages
 from deckspark.sources.snapshots import SnapshotTable
+from deckspark.sources.unknown import append_unknown, read_unknown
 from deckspark.streaming.discovery import StubSink, start_stubs
 from deckspark.streaming.logs import BatchLog
+from deckspark.streaming.submissions import SubmissionSink, start_submissions
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,12 +93,16 @@ def deck_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def landed(spark: SparkSession, sf_dir: str, name: str, lines: DataFrame) -> str:
     """Folder with the given JSON lines; written once per application and table folder."""
-    source = hashlib.md5(sf_dir.encode()).hexdigest()
-    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{source}/{name}"
+    folder = landing_folder(spark, sf_dir, name)
     lines.write.mode("ignore").text(folder)
     return folder
 
 
+def landing_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    source = hashlib.md5(sf_dir.encode()).hexdigest()
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{source}/{name}"
+
+
 def deck_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as deck documents, landed as JSON and read like any landing."""
     docs = texts(spark, sf_dir, "documents", "doc_id", "lang", "n_chars", "text")
@@ -666,12 +674,12 @@ def event_stubs(events: DataFrame) -> DataFrame:
 
 def stream_upsert(spark, sf_dir):
     """``events`` streamed as stubs into the deck table, micro-batch by micro-batch."""
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     # The pattern makes a single file and a folder of files work alike.
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events.parque[t]")
     decks = SnapshotTable(spark, f"{root}/decks", DECKS, ("format",))
-    sink = StubSink(decks, BatchLog(spark, f"{root}/log", STUB_LOG), f"{root}/rejected")
+    sink = StubSink(decks, BatchLog(spark, f"{root}/log", STUB_LOG), f"{root}/broken")
     start_stubs(event_stubs(stream), sink, f"{root}/checkpoint").awaitTermination()
     return decks.read().select(
         "moxfield_id", "name", "author", "status",
@@ -679,6 +687,66 @@ def stream_upsert(spark, sf_dir):
     )
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors can reach."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def seeded_status(spark, sf_dir):
+    """``part`` seeded into an empty corpus: the tracked units with the ids given out."""
+    root = scratch(spark, "seed")
+    cards = SnapshotTable(spark, f"{root}/cards", CARDS)
+    status = SnapshotTable(spark, f"{root}/status", CARD_FORMAT_STATUS)
+    parse_export(card_objects(spark, sf_dir)).write.parquet(f"{root}/landed")
+    seed_cards(spark.read.parquet(f"{root}/landed"), cards, status, 1)
+    return C.names_of(status.read(), cards.read()).select("card_id", "card_name", "format", "swept")
+
+
+def unknown_log(spark, sf_dir):
+    """Words without a card, appended to the text log and read back."""
+    docs = texts(spark, sf_dir, "documents", "doc_id", "lang", "text").withColumn(
+        "text", F.translate("text", "\n\t\r", "   ")
+    )
+    entries = words(docs.withColumn("format", F.expr(DECK_FORMAT)), "format", "doc_id").filter("w <> ''").select(
+        F.lit(None).cast("timestamp").alias("ts"), "format", F.col("doc_id").cast("string").alias("moxfield_id"),
+        F.col("w").alias("card_name"),
+    )
+    lost = C.resolve_names(entries, vocabulary(spark, sf_dir)).filter("card_id IS NULL").drop("card_id")
+    folder = scratch(spark, "unknown")
+    append_unknown(lost.withColumn("ts", F.current_timestamp()), folder)
+    return read_unknown(spark, folder).filter("ts IS NOT NULL").groupBy("format").agg(
+        F.count("*").alias("lines"), F.count_distinct("card_name").alias("names")
+    )
+
+
+def stream_corpus(spark, sf_dir):
+    """Labelled ``documents`` as found decks, all ``documents`` streamed as their submissions."""
+    root = scratch(spark, "corpus")
+    cards = SnapshotTable(spark, f"{root}/cards", "id int, card_name string")
+    cards.write(vocabulary(spark, sf_dir), 1)
+    formats = table(spark, sf_dir, "documents").select("doc_id", F.expr(DECK_FORMAT).alias("format"))
+    found = table(spark, sf_dir, "labels").join(formats, "doc_id").select(
+        "format", F.col("doc_id").cast("string").alias("moxfield_id"), (F.col("doc_id") - 1).alias("seq"), F.lit(0).alias("pos"),
+        F.current_timestamp().alias("scraped_at"), F.lit(0).alias("color_mask"), F.lit(1).alias("page"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("name", "string"), ("author", "string"), ("created_at_utc", "timestamp"), ("updated_at_utc", "timestamp"),
+            ("sweep_card", "string"), ("sweep_format", "string"))],
+    )
+    stub_log = BatchLog(spark, f"{root}/stubs", STUB_LOG)
+    stub_log.put(found, 0)
+    log = BatchLog(spark, f"{root}/submissions", SUBMISSION_LOG)
+    sink = SubmissionSink(cards, stub_log, log, f"{root}/outcomes", f"{root}/unknown")
+    deck_documents(spark, sf_dir)  # lands the documents
+    stream = read_details(spark, landing_folder(spark, sf_dir, "details"), stream=True, files_per_batch=1000)
+    start_submissions(stream, sink, f"{root}/checkpoint").awaitTermination()
+    decks, rows = build_decks(stub_log.read(), log.read())
+    per_deck = rows.groupBy(*stubs.KEY).agg(F.count("*").alias("n_rows"))
+    return decks.join(per_deck, stubs.KEY, "left").select(
+        *stubs.KEY, "status", F.array_size("card_ids").alias("n_cards"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        F.array_size(F.array_distinct("commander_ids")).alias("n_commanders"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -689,5 +757,6 @@ QUERIES = {
         bridge_replace, outcome_table, outcome_counts, settled_decks, attempt_verdict, sweep_worklist,
         deck_worklist, batch_assignment, lease_stamps, stale_leases, queue_drained, sweep_completion,
         lost_completions, cycle_reset, lifecycle_state, constraint_report, cascade_delete, stream_upsert,
+        seeded_status, unknown_log, stream_corpus,
     )
 }

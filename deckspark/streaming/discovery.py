@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from deckspark.operators.stubs import fold_stubs, parse_stubs, split_formats, upsert_stubs
+from deckspark.operators.stubs import fold_stubs, parse_stubs, upsert_stubs
 from deckspark.schemas import CORRUPT
 from deckspark.sources.snapshots import SnapshotTable
 from deckspark.streaming.logs import BatchLog
@@ -23,13 +23,11 @@ class StubSink:
     batch reads the version before it and writes the same one again.
     """
 
-    def __init__(self, decks: SnapshotTable, log: BatchLog, rejected: str, merge_every: int = 1):
-        self.decks, self.log, self.rejected, self.merge_every = decks, log, rejected, merge_every
+    def __init__(self, decks: SnapshotTable, log: BatchLog, broken: str, merge_every: int = 1):
+        self.decks, self.log, self.broken, self.merge_every = decks, log, broken, merge_every
 
     def __call__(self, stubs: DataFrame, batch_id: int) -> None:
-        known, other = split_formats(stubs)
-        self.log.put(known, batch_id)
-        other.write.mode("overwrite").parquet(f"{self.rejected}/batch={batch_id}")
+        self.log.put(stubs, batch_id)
         if (batch_id + 1) % self.merge_every == 0:
             self.merge(batch_id + 1)
 
@@ -44,9 +42,13 @@ class StubSink:
 
     def take_pages(self, pages: DataFrame, batch_id: int) -> None:
         """The same for raw pages; pages that are no valid JSON are set aside as text."""
-        broken = pages.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT, "seq")
-        broken.write.mode("overwrite").parquet(f"{self.rejected}_pages/batch={batch_id}")
-        self(parse_stubs(pages), batch_id)
+        pages = pages.persist()
+        try:
+            broken = pages.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT, "seq")
+            broken.write.mode("overwrite").parquet(f"{self.broken}/batch={batch_id}")
+            self(parse_stubs(pages), batch_id)
+        finally:
+            pages.unpersist()
 
 
 def start_stubs(stubs: DataFrame, sink: StubSink, checkpoint: str, once: bool = True) -> StreamingQuery:
