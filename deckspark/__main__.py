@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from deckspark.functions.formats import BATCH_SIZE
 from deckspark.operators.quality import check_corpus, require_cards
 from deckspark.operators.worklist import deck_worklist, next_cycle, sweep_worklist
-from deckspark.plans.corpus import write_corpus
+from deckspark.plans.corpus import BUILDS, Corpus
 from deckspark.plans.seed import seed_cards, seed_from_manifest, table_stats
 from deckspark.schemas import CARD_FORMAT_STATUS, CARDS, DECK_CARDS, DECKS, STUB_LOG, SUBMISSION_LOG
 from deckspark.session import build_session
@@ -21,7 +21,7 @@ from deckspark.streaming.logs import BatchLog
 from deckspark.streaming.submissions import SubmissionSink, start_submissions
 
 
-class Corpus:
+class Tables:
     """All tables below one folder."""
 
     def __init__(self, spark, root: str, buckets: int):
@@ -30,72 +30,72 @@ class Corpus:
         self.cards = SnapshotTable(spark, f"{root}/cards", CARDS)
         self.status = SnapshotTable(spark, f"{root}/card_format_status", CARD_FORMAT_STATUS)
         self.found = SnapshotTable(spark, f"{root}/found_decks", DECKS, bucket_by=key, buckets=buckets)
-        self.decks = SnapshotTable(spark, f"{root}/decks", DECKS, ("format",))
-        self.deck_cards = SnapshotTable(spark, f"{root}/deck_cards", DECK_CARDS, ("format",))
-        self.stub_log = BatchLog(spark, f"{root}/stub_log", STUB_LOG)
-        self.submission_log = BatchLog(spark, f"{root}/submission_log", SUBMISSION_LOG)
+        self.corpus = Corpus(
+            BatchLog(spark, f"{root}/stub_log", STUB_LOG),
+            BatchLog(spark, f"{root}/submission_log", SUBMISSION_LOG),
+            SnapshotTable(spark, f"{root}/decks", DECKS, ("format",)),
+            SnapshotTable(spark, f"{root}/deck_cards", DECK_CARDS, ("format",)),
+            SnapshotTable(spark, f"{root}/builds", BUILDS),
+        )
 
 
 def next_version(table: SnapshotTable) -> int:
     return (table.latest() or 0) + 1
 
 
-def seed(corpus: Corpus, args: argparse.Namespace) -> None:
-    version = next_version(corpus.cards)
-    landed = f"{corpus.root}/landed/{version}"
+def seed(tables: Tables, args: argparse.Namespace) -> None:
+    version = next_version(tables.cards)
+    landed = f"{tables.root}/landed/{version}"
     if args.manifest:
         done = seed_from_manifest(
-            corpus.spark, args.manifest, landed, corpus.cards, corpus.status, version, args.bulk
+            tables.spark, args.manifest, landed, tables.cards, tables.status, version, args.bulk
         )
     else:
-        raw = land_export(corpus.spark, args.export, landed, args.lines)
-        done = seed_cards(raw, corpus.cards, corpus.status, version, args.refresh_all)
+        raw = land_export(tables.spark, args.export, landed, args.lines)
+        done = seed_cards(raw, tables.cards, tables.status, version, args.refresh_all)
     print(f"{done.inserted} inserted, {done.updated} updated, {done.collisions} repeated names dropped")
-    info(corpus, args)
+    info(tables, args)
 
 
-def info(corpus: Corpus, args: argparse.Namespace) -> None:
-    total, per_format = table_stats(corpus.cards.read(), corpus.status.read())
+def info(tables: Tables, args: argparse.Namespace) -> None:
+    total, per_format = table_stats(tables.cards.read(), tables.status.read())
     total.show()
     per_format.show(truncate=False)
 
 
-def discover(corpus: Corpus, args: argparse.Namespace) -> None:
-    sink = StubSink(corpus.found, corpus.stub_log, f"{corpus.root}/broken_pages", args.merge_every)
-    pages = read_pages(corpus.spark, args.landing, stream=True, files_per_batch=args.files_per_batch)
-    start_discovery(pages, sink, f"{corpus.root}/checkpoints/discover", not args.keep_running).awaitTermination()
+def discover(tables: Tables, args: argparse.Namespace) -> None:
+    sink = StubSink(tables.found, tables.corpus.stub_log, f"{tables.root}/broken_pages", args.merge_every)
+    pages = read_pages(tables.spark, args.landing, stream=True, files_per_batch=args.files_per_batch)
+    start_discovery(pages, sink, f"{tables.root}/checkpoints/discover", not args.keep_running).awaitTermination()
 
 
-def submit(corpus: Corpus, args: argparse.Namespace) -> None:
-    require_cards(corpus.cards.read())
+def submit(tables: Tables, args: argparse.Namespace) -> None:
+    require_cards(tables.cards.read())
     sink = SubmissionSink(
-        corpus.cards, corpus.stub_log, corpus.submission_log,
-        f"{corpus.root}/outcomes", f"{corpus.root}/unknown_cards",
+        tables.cards, tables.corpus, f"{tables.root}/outcomes", f"{tables.root}/unknown_cards"
     )
-    details = read_details(corpus.spark, args.landing, stream=True, files_per_batch=args.files_per_batch)
-    start_submissions(details, sink, f"{corpus.root}/checkpoints/submit", not args.keep_running).awaitTermination()
+    details = read_details(tables.spark, args.landing, stream=True, files_per_batch=args.files_per_batch)
+    start_submissions(details, sink, f"{tables.root}/checkpoints/submit", not args.keep_running).awaitTermination()
 
 
-def build(corpus: Corpus, args: argparse.Namespace) -> None:
-    write_corpus(
-        corpus.stub_log.read(), corpus.submission_log.read(), corpus.decks, corpus.deck_cards, next_version(corpus.decks)
-    )
+def build(tables: Tables, args: argparse.Namespace) -> None:
+    print(f"version {tables.corpus.build()}")
 
 
-def sweeps(corpus: Corpus, args: argparse.Namespace) -> None:
+def sweeps(tables: Tables, args: argparse.Namespace) -> None:
     now = F.current_timestamp()
-    status = next_cycle(corpus.status.read(), corpus.decks.read(), now)
-    sweep_worklist(status, corpus.cards.read(), now, args.limit).show(args.limit, truncate=False)
+    status = next_cycle(tables.status.read(), tables.corpus.decks.read(), now)
+    sweep_worklist(status, tables.cards.read(), now, args.limit).show(args.limit, truncate=False)
 
 
-def decks(corpus: Corpus, args: argparse.Namespace) -> None:
-    rows = deck_worklist(corpus.decks.read(), F.current_timestamp(), args.limit)
+def decks(tables: Tables, args: argparse.Namespace) -> None:
+    rows = deck_worklist(tables.corpus.decks.read(), F.current_timestamp(), args.limit)
     rows.select("format", "moxfield_id", "scraped_at").show(args.limit, truncate=False)
 
 
-def check(corpus: Corpus, args: argparse.Namespace) -> None:
-    tables = (t.read() for t in (corpus.cards, corpus.status, corpus.decks, corpus.deck_cards))
-    check_corpus(*tables).show(100, truncate=False)
+def check(tables: Tables, args: argparse.Namespace) -> None:
+    checked = (tables.cards, tables.status, tables.corpus.decks, tables.corpus.deck_cards)
+    check_corpus(*[t.read() for t in checked]).show(100, truncate=False)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -133,7 +133,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    args.run(Corpus(build_session(args.master), args.root, args.buckets), args)
+    args.run(Tables(build_session(args.master), args.root, args.buckets), args)
 
 
 if __name__ == "__main__":

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deckspark.operators.skew import lookup_join
 from deckspark.session import shared_dir
 
 #: Sequence numbers per chunk, as a power of two.
@@ -52,8 +53,8 @@ def global_row_number(
         .withColumn("_part", F.shiftright("_mid", 33))
         .checkpoint()
     )
-    # One row per partition and group: the partitions are contiguous, so this is
-    # bounded by the number of partitions plus the number of groups.
+    # One row per partition and group. The partitions are contiguous, so these are
+    # no more than the partitions and the groups together.
     pieces = ranged.groupBy("_part", *within).agg(
         F.count("*").alias("_n"), F.min("_mid").alias("_start")
     )
@@ -64,8 +65,6 @@ def global_row_number(
     side = offsets.select(
         F.struct("_part", *within).alias("_piece"), (F.col("_before") - F.col("_start") + 1).alias("_shift")
     )
-    return (
-        ranged.withColumn("_piece", F.struct("_part", *within))
-        .join(F.broadcast(side), "_piece")
-        .select(*df.columns, (F.col("_mid") + F.col("_shift")).alias(out))
+    placed = ranged.withColumn("_piece", F.struct("_part", *within))
+    return lookup_join(placed, side, ["_piece"], "inner").select(*df.columns, (F.col("_mid") + F.col("_shift")).alias(out)
     )

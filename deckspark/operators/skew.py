@@ -21,10 +21,18 @@ def planned_bytes(df: DataFrame) -> int:
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Size of the values themselves: texts by their length, anything else as one word."""
-    widths = [
-        F.coalesce(F.octet_length(c), F.lit(0)) + 8 if t == "string" else F.lit(8) for c, t in df.dtypes
-    ]
+    """Size of the values themselves: texts by their length, nested values by that of their JSON."""
+
+    def width(name: str, kind: str) -> Column:
+        if kind.startswith(("struct", "array", "map")):
+            text = F.to_json(F.struct(name))
+        elif kind == "string":
+            text = F.col(name)
+        else:
+            return F.lit(8)
+        return F.coalesce(F.octet_length(text), F.lit(0)) + 8
+
+    widths = [width(name, kind) for name, kind in df.dtypes]
     return df.agg(F.coalesce(F.sum(reduce(Column.__add__, widths)), F.lit(0))).first()[0]
 
 

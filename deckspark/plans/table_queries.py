@@ -19,9 +19,9 @@ from deckspark.operators import cards as C
 from deckspark.operators import lifecycle, paging, quality, stats, stubs, submissions, worklist
 from deckspark.operators.ordered import first_per_key, global_row_number
 from deckspark.operators.skew import spread
-from deckspark.plans.corpus import build_decks
+from deckspark.plans.corpus import BUILDS, Corpus
 from deckspark.plans.seed import seed_cards
-from deckspark.schemas import CARD_FORMAT_STATUS, CARDS, DECKS, STUB_LOG, SUBMISSION_LOG
+from deckspark.schemas import CARD_FORMAT_STATUS, CARDS, DECK_CARDS, DECKS, STUB_LOG, SUBMISSION_LOG
 from deckspark.session import shared_dir
 from deckspark.sources.cards import parse_export
 from deckspark.sources.landings import read_details, read_pages
@@ -734,12 +734,19 @@ def stream_corpus(spark, sf_dir):
     )
     stub_log = BatchLog(spark, f"{root}/stubs", STUB_LOG)
     stub_log.put(found, 0)
-    log = BatchLog(spark, f"{root}/submissions", SUBMISSION_LOG)
-    sink = SubmissionSink(cards, stub_log, log, f"{root}/outcomes", f"{root}/unknown")
+    corpus = Corpus(
+        stub_log,
+        BatchLog(spark, f"{root}/submissions", SUBMISSION_LOG),
+        SnapshotTable(spark, f"{root}/decks", DECKS, ("format",)),
+        SnapshotTable(spark, f"{root}/deck_cards", DECK_CARDS, ("format",)),
+        SnapshotTable(spark, f"{root}/builds", BUILDS),
+    )
+    sink = SubmissionSink(cards, corpus, f"{root}/outcomes", f"{root}/unknown")
     deck_documents(spark, sf_dir)  # lands the documents
     stream = read_details(spark, landing_folder(spark, sf_dir, "details"), stream=True, files_per_batch=1000)
     start_submissions(stream, sink, f"{root}/checkpoint").awaitTermination()
-    decks, rows = build_decks(stub_log.read(), log.read())
+    corpus.build()
+    decks, rows = corpus.decks.read(), corpus.deck_cards.read()
     per_deck = rows.groupBy(*stubs.KEY).agg(F.count("*").alias("n_rows"))
     return decks.join(per_deck, stubs.KEY, "left").select(
         *stubs.KEY, "status", F.array_size("card_ids").alias("n_cards"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
