@@ -66,5 +66,6 @@ def global_row_number(
         F.struct("_part", *within).alias("_piece"), (F.col("_before") - F.col("_start") + 1).alias("_shift")
     )
     placed = ranged.withColumn("_piece", F.struct("_part", *within))
-    return lookup_join(placed, side, ["_piece"], "inner").select(*df.columns, (F.col("_mid") + F.col("_shift")).alias(out)
+    return lookup_join(placed, side, ["_piece"], "inner").select(
+        *df.columns, (F.col("_mid") + F.col("_shift")).alias(out)
     )
