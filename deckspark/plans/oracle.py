@@ -73,11 +73,11 @@ turn_lines AS (
     SELECT conv_id, turn, role, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos
     FROM (SELECT conv_id, turn, role, string_split(text, chr(10)) AS ls FROM conversations)),
 stubs AS (
-    SELECT CASE WHEN length(line) > 60 THEN substr(line, 1, 20) ELSE substr(line, 1, 10) END AS moxfield_id,
+    SELECT CASE WHEN length(line) > 60 THEN md5(line) ELSE 'id-' || md5(line) END AS moxfield_id,
            line AS name,
            CASE WHEN line LIKE 'L%' THEN 'pauper' WHEN line LIKE 'E%' THEN 'brawl' ELSE 'modern' END AS format,
-           CASE WHEN line LIKE '%.' THEN substr(line, 1, 3) ELSE role END AS author,
-           CAST(CASE WHEN line LIKE '%,%' THEN 24 ELSE {_mask('substr(line, 1, 5)')} END AS INTEGER) AS color_mask,
+           CASE WHEN line LIKE '%.' THEN role || ' ' || turn ELSE role END AS author,
+           CAST(CASE WHEN line LIKE '%,%' THEN 24 ELSE {_mask('line')} END AS INTEGER) AS color_mask,
            CAST(conv_id AS VARCHAR) AS sweep_card, CAST(turn + 1 AS INTEGER) AS page, CAST(pos AS INTEGER) AS pos,
            1704067200 + turn * 86400 AS created_s,
            CASE WHEN line LIKE '%.' THEN 1706745600 + turn * 86400 END AS updated_s

@@ -181,13 +181,13 @@ def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.col("conv_id").alias("seq"),
                 F.expr(
                     r"""transform(split(text, '\n'), line -> named_struct(
-                        'publicId', CASE WHEN length(line) > 60 THEN substr(line, 1, 20) ELSE '' END,
-                        'id', CASE WHEN length(line) > 20 THEN substr(line, 1, 10) END,
+                        'publicId', CASE WHEN length(line) > 60 THEN md5(line) ELSE '' END,
+                        'id', CASE WHEN length(line) > 20 THEN concat('id-', md5(line)) END,
                         'name', line,
                         'format', CASE WHEN line LIKE 'L%' THEN 'pauper' WHEN line LIKE 'E%' THEN 'brawl' ELSE '' END,
-                        'createdByUser', named_struct('userName', CASE WHEN line LIKE '%.' THEN substr(line, 1, 3) END),
+                        'createdByUser', named_struct('userName', CASE WHEN line LIKE '%.' THEN concat(role, ' ', turn) END),
                         'authorUserName', role,
-                        'colorIdentity', CASE WHEN line LIKE '%,%' THEN array() ELSE split(substr(line, 1, 5), '') END,
+                        'colorIdentity', CASE WHEN line LIKE '%,%' THEN array() ELSE split(line, '') END,
                         'colors', array('R', 'g '),
                         'createdAtUtc', concat('2024-01-', lpad(turn + 1, 2, '0'), 'T00:00:00Z'),
                         'lastUpdatedAtUtc', CASE WHEN line LIKE '%.' THEN concat('2024-02-', lpad(turn + 1, 2, '0'), 'T01:00:00+01:00') ELSE 'never' END))"""
