@@ -72,7 +72,8 @@ def discover(tables: Tables, args: argparse.Namespace) -> None:
 def submit(tables: Tables, args: argparse.Namespace) -> None:
     require_cards(tables.cards.read())
     sink = SubmissionSink(
-        tables.cards, tables.corpus, f"{tables.root}/outcomes", f"{tables.root}/unknown_cards"
+        tables.cards, tables.corpus, f"{tables.root}/outcomes", f"{tables.root}/unknown_cards",
+        f"{tables.root}/broken_documents",
     )
     details = read_details(tables.spark, args.landing, stream=True, files_per_batch=args.files_per_batch)
     start_submissions(details, sink, f"{tables.root}/checkpoints/submit", not args.keep_running).awaitTermination()

@@ -24,6 +24,7 @@ from deckspark.plans.seed import seed_cards
 from deckspark.schemas import CARD_FORMAT_STATUS, CARDS, DECK_CARDS, DECKS, STUB_LOG, SUBMISSION_LOG
 from deckspark.session import shared_dir
 from deckspark.sources.cards import parse_export
+from deckspark.sources.files import is_committed
 from deckspark.sources.landings import read_details, read_pages
 from deckspark.sources.snapshots import SnapshotTable
 from deckspark.sources.unknown import append_unknown, read_unknown
@@ -94,7 +95,8 @@ def deck_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def landed(spark: SparkSession, sf_dir: str, name: str, lines: DataFrame) -> str:
     """Folder with the given JSON lines; written once per application and table folder."""
     folder = landing_folder(spark, sf_dir, name)
-    lines.write.mode("ignore").text(folder)
+    if not is_committed(spark, folder):
+        lines.write.mode("overwrite").text(folder)
     return folder
 
 
@@ -741,7 +743,7 @@ def stream_corpus(spark, sf_dir):
         SnapshotTable(spark, f"{root}/deck_cards", DECK_CARDS, ("format",)),
         SnapshotTable(spark, f"{root}/builds", BUILDS),
     )
-    sink = SubmissionSink(cards, corpus, f"{root}/outcomes", f"{root}/unknown")
+    sink = SubmissionSink(cards, corpus, f"{root}/outcomes", f"{root}/unknown", f"{root}/broken")
     deck_documents(spark, sf_dir)  # lands the documents
     stream = read_details(spark, landing_folder(spark, sf_dir, "details"), stream=True, files_per_batch=1000)
     start_submissions(stream, sink, f"{root}/checkpoint").awaitTermination()

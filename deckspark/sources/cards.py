@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from deckspark.schemas import BULK_MANIFEST, CARD_EXPORT, CORRUPT, with_corrupt
+from deckspark.sources.files import is_committed
 
 # The variants of the export.
 BULK_TYPES = ("oracle_cards", "unique_artwork", "default_cards", "all_cards")
@@ -53,5 +54,6 @@ def parse_export(texts: DataFrame, card: str = "card") -> DataFrame:
 
 def land_export(spark: SparkSession, path: str, landed: str, lines: bool = False) -> DataFrame:
     """The export as parquet, written at the first call and reused later."""
-    read_export(spark, path, lines).write.mode("ignore").parquet(landed)
+    if not is_committed(spark, landed):
+        read_export(spark, path, lines).write.mode("overwrite").parquet(landed)
     return spark.read.parquet(landed)
