@@ -57,3 +57,26 @@ SELECT doc_id, size, source_size, target,
      + greatest(0, least(source_size + start + size, floor(target)::BIGINT) - source_size - start))::BIGINT AS taken
 FROM laid
 """
+
+ORACLE_SQL["op9_decontamination"] = r"""
+WITH lowered AS (
+    SELECT row_number() OVER () AS id, doc_id, coalesce(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+    FROM documents),
+items AS (
+    SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark),
+phrases AS (
+    SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[k : k + 12], ' ') AS phrase
+    FROM items, unnest(range(1, greatest(1, len(w) - 12) + 1)) t(k) WHERE len(w) > 0),
+places AS (
+    SELECT id, n, k, array_to_string(w[k : k + n - 1], ' ') AS phrase
+    FROM lowered, (SELECT DISTINCT n FROM phrases), unnest(range(1, len(w) - n + 2)) t(k)),
+hits AS (SELECT p.id, p.n, p.k, q.item FROM places p JOIN phrases q ON p.phrase = q.phrase AND p.n = q.n),
+words AS (SELECT id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT id, n, k FROM hits), unnest(range(k, k + n)) t(j) GROUP BY id),
+found AS (SELECT id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM lowered LEFT JOIN words USING (id) LEFT JOIN found USING (id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckspark.llm import mixing, pseudonyms, sharding
+from deckspark.llm import decontamination, mixing, pseudonyms, sharding
 from deckspark.llm.common import cut, table
 
 
@@ -43,8 +43,23 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in 13-word windows of benchmark items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "found.n_words",
+        decontamination.hit_words().alias("n_hit"),
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("found.items"), ",").cast("binary"), 256).alias("items_sha256"),
+        decontamination.contaminated().alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op4_mixing": op4_mixing,
     "op6_pseudonyms": op6_pseudonyms,
+    "op9_decontamination": op9_decontamination,
 }
