@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckspark.llm import decontamination, mixing, pseudonyms, sharding
+from deckspark.llm import decontamination, mixing, near_duplicates, pseudonyms, sharding
 from deckspark.llm.common import cut, table
 
 
@@ -57,9 +57,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of each document, named by its smallest doc_id."""
+    return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op4_mixing": op4_mixing,
     "op6_pseudonyms": op6_pseudonyms,
     "op9_decontamination": op9_decontamination,
+    "op10_near_duplicates": op10_near_duplicates,
 }
