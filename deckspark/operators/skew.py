@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deckspark.session import shared_dir
+
 #: Largest side that may be broadcast, in bytes.
 BROADCAST_BYTES = 32 << 20
 #: Rows of one key from which on the key is cut into pieces of about this size.
@@ -15,11 +17,6 @@ HOT_ROWS = 5_000_000
 NULL_PIECES = 4096
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; unknown sizes come out huge."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def measured_bytes(df: DataFrame) -> int:
     """Size of the values themselves: texts by their length, nested values by that of their JSON."""
 
@@ -37,8 +34,12 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the frame is small by estimate or, failing that, by measure."""
-    return planned_bytes(df) <= limit or measured_bytes(df) <= limit
+    """Whether the frame is small, by measure.
+
+    Catalyst's estimate does not count: it ignores the fan-out of generators and the
+    compression of files, so it is no upper bound.
+    """
+    return measured_bytes(df) <= limit
 
 
 def lookup_join(
@@ -54,28 +55,32 @@ def lookup_join(
     A table within the size limit is broadcast and the rows are not shuffled.
     With a larger one the join is shuffled, and each hot key is cut into pieces
     of about ``hot_rows`` rows: its table row is repeated once per piece. The
-    list of hot keys has at most one entry per ``hot_rows`` rows.
+    pieces are dealt by a number of the stored row, so equal rows spread too, and
+    a task that runs again deals them alike. The rows are evaluated once.
     """
     if fits_broadcast(table, broadcast_bytes):
         return rows.join(F.broadcast(table), on, how)
 
+    shared_dir(rows.sparkSession)
+    stored = rows.withColumn("_number", F.monotonically_increasing_id()).checkpoint()
     hot = (
-        rows.groupBy(*on)
+        stored.groupBy(*on)
         .count()
         .filter(F.col("count") >= hot_rows)
         .select(*on, F.ceil(F.col("count") / hot_rows).cast("int").alias("_pieces"))
-    )
-    spread_by = F.xxhash64(*rows.columns)
+    ).checkpoint()
+    # One entry per hot_rows rows at most; beyond the limit it is joined like any table.
+    side = F.broadcast(hot) if fits_broadcast(hot, broadcast_bytes) else hot
     no_key = reduce(Column.__or__, [F.col(c).isNull() for c in on])
-    salted = rows.join(F.broadcast(hot), on, "left").withColumn(
+    salted = stored.join(side, on, "left").withColumn(
         "_salt",
-        F.when(no_key, F.pmod(spread_by, F.lit(NULL_PIECES)))
-        .otherwise(F.coalesce(F.pmod(spread_by, F.col("_pieces")), F.lit(0)))
+        F.when(no_key, F.pmod("_number", F.lit(NULL_PIECES)))
+        .otherwise(F.coalesce(F.pmod("_number", F.col("_pieces")), F.lit(0)))
         .cast("int"),
     )
     pieces = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
-    repeated = table.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(pieces))
-    joined = salted.drop("_pieces").join(repeated.drop("_pieces"), [*on, "_salt"], how)
+    repeated = table.join(side, on, "left").withColumn("_salt", F.explode(pieces))
+    joined = salted.drop("_pieces", "_number").join(repeated.drop("_pieces"), [*on, "_salt"], how)
     return joined.drop("_salt")
 
 
