@@ -8,12 +8,13 @@ empty coordinate throw again up to twice the limit.
 
 Elements are the 5-word shingles of the lower-cased text (words are parted by white space); a text of
 fewer words is one shingle. Bands of coordinates give buckets. Documents with equal shingle sets
-are one text from then on. Each text of a bucket is compared with the bucket's first; texts of one bucket that
-this leaves in different groups are then compared pair by pair, so no link between candidates is lost, and
-the copies of a group are never expanded. Comparisons are exact: similarity of whole shingle sets.
+are one text from then on. Each text of a bucket is compared with the bucket's first. Texts of one bucket that
+this leaves in different groups are then compared with each other, but for those whose own shingles rule
+it out; so no link between candidates is lost, and the copies of a group are never expanded.
+Comparisons are exact: similarity of whole shingle sets.
 
-Defined cases: a null or wordless text has no shingles and is a group of its own; repeated rows are copies; a
-document's group is named by its smallest doc_id; empty tables give no rows. The chance that a pair of similarity
+Defined cases: a null or wordless text has no shingles and is a copy of nothing but a repeated row; repeated rows are
+copies; a document's group is named by its smallest doc_id; empty tables give no rows. The chance that a pair of similarity
 0.8 shares no bucket is (1 - 0.8^5)^32, three in a million.
 """
 
@@ -189,6 +190,60 @@ def _verified(pairs: DataFrame, signed: DataFrame, share: tuple[int, int]) -> Da
     )
 
 
+def _alike(n: Column, m: Column, share: tuple[int, int]) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(n, m) * share[1] >= F.greatest(n, m) * share[0]
+
+
+def _still_possible(texts: DataFrame, signed: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of different groups in one bucket that can be similar enough; ``texts`` has (bucket, key, n, root).
+
+    Elements of a text that no other of these texts has cannot be common to a pair. With the number of the others,
+    and for each class of partner sizes, that bounds a text's similarity to anything of the class. Texts meet
+    only in classes where both bounds allow it: those that differ from the middle of a large group in too
+    many places never meet its other members.
+    """
+    keys = cut(texts.select("key").distinct())
+    each = lookup_join(
+        signed.filter("n > 0").select(F.struct("k1", "k2").alias("key"), "elements"), keys, ["key"], "inner"
+    )
+    rows = cut(each.select("key", F.explode("elements").alias("element")).distinct())
+    common = rows.groupBy("element").agg(F.count("*").alias("owners")).filter("owners > 1").select("element")
+    shared = rows.join(common, "element", "left_semi").groupBy("key").agg(F.count("*").alias("common"))
+    steps = 32.0  # size classes per factor e
+    n, common_n = F.col("n").cast("double"), F.coalesce("common", F.lit(0)).cast("double")
+    limit = share[0] / share[1]
+    low, high = F.exp(F.col("partner") / steps), F.exp((F.col("partner") + 1) / steps)
+    best = F.greatest(low, F.least(high, common_n))
+    meet = F.least(best, common_n)
+    sized = (
+        texts.join(shared, "key", "left")
+        .withColumn("own", F.floor(F.log(n) * steps))
+        .withColumn(
+            "partner",
+            F.explode(F.sequence(F.floor(F.log(n * limit) * steps - 1e-6), F.floor(F.log(n / limit) * steps + 1e-6))),
+        )
+        .filter(meet >= limit * (n + best - meet) - 1e-6)
+        .select("bucket", "key", "n", "root", "own", "partner")
+    )
+    sized = cut(sized)
+    other = sized.select(
+        "bucket",
+        F.col("key").alias("b"),
+        F.col("n").alias("m"),
+        F.col("root").alias("other"),
+        F.col("own").alias("partner"),
+        F.col("partner").alias("own"),
+    )
+    return (
+        sized.join(other, ["bucket", "own", "partner"])
+        .filter((F.col("key") < F.col("b")) & (F.col("root") != F.col("other")))
+        .filter(_alike(F.col("n"), F.col("m"), share))
+        .select(F.col("key").alias("a"), "b")
+        .distinct()
+    )
+
+
 def near_duplicate_groups(
     docs: DataFrame,
     text: str = "text",
@@ -208,37 +263,28 @@ def near_duplicate_groups(
     entries = cut(
         full.select(F.struct("k1", "k2").alias("key"), "n", F.explode("bands").alias("bucket")).distinct()
     )
-    # Buckets with several texts, with their first text in hash order.
-    buckets = (
-        entries.groupBy("bucket")
-        .agg(F.min(F.struct("key", "n")).alias("head"), F.count("*").alias("texts"))
-        .filter("texts > 1")
+    # Texts of buckets with several, each with the number of meetings it has over all its buckets. The text
+    # with most is the middle of its group, if the group has one: it becomes the bucket's first.
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("texts")).filter("texts > 1")
+    shared = cut(entries.join(sizes, "bucket").select("bucket", "key", "n", "texts"))
+    met = shared.groupBy("key").agg(F.sum("texts").alias("met"))
+    shared = cut(shared.drop("texts").join(met, "key"))
+    heads = shared.groupBy("bucket").agg(F.max(F.struct("met", "key", "n")).alias("head"))
+    first = shared.join(heads, "bucket").filter(F.col("key") != F.col("head.key")).filter(
+        _alike(F.col("n"), F.col("head.n"), share)
     )
-    joined = cut(entries.join(buckets, "bucket").select("bucket", "key", "n", "head"))
-
-    def alike(n: Column, m: Column) -> Column:
-        return (F.least(n, m) * share[1] >= F.greatest(n, m) * share[0])
-
-    first = joined.filter(F.col("key") != F.col("head.key")).filter(alike(F.col("n"), F.col("head.n")))
     links = cut(_verified(first.select(F.col("head.key").alias("a"), F.col("key").alias("b")).distinct(), signed, share))
     roots = connected_components(links)
     # Texts that share a bucket and are still in different groups.
-    named = joined.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
-        "bucket", "key", "n", "head", F.coalesce("root", "key").alias("root")
-    )
-    apart = cut(named)
-    mixed_buckets = (
-        apart.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    named = cut(
+        shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+            "bucket", "key", "n", F.coalesce("root", "key").alias("root")
+        )
     )
-    open_texts = cut(apart.join(mixed_buckets, "bucket", "left_semi"))
-    other = open_texts.select("bucket", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    second = (
-        open_texts.join(other, "bucket")
-        .filter((F.col("key") < F.col("b")) & (F.col("root") != F.col("other")) & (F.col("key") != F.col("head.key")))
-        .filter(alike(F.col("n"), F.col("m")))
-        .select(F.col("key").alias("a"), "b")
-        .distinct()
+    parted = (
+        named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     )
+    second = _still_possible(cut(named.join(parted.select("bucket"), "bucket", "left_semi")), signed, share)
     more = cut(_verified(second, signed, share))
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
