@@ -195,8 +195,8 @@ def _alike(n: Column, m: Column, share: tuple[int, int]) -> Column:
     return F.least(n, m) * share[1] >= F.greatest(n, m) * share[0]
 
 
-def _still_possible(texts: DataFrame, signed: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of different groups in one bucket that can be similar enough; ``texts`` has (bucket, key, n, root).
+def _links_between(texts: DataFrame, signed: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between different groups in one bucket; ``texts`` has (bucket, key, n, root).
 
     Elements of a text that no other of these texts has cannot be common to a pair. With the number of the others,
     and for each class of partner sizes, that bounds a text's similarity to anything of the class. Texts meet
@@ -207,6 +207,7 @@ def _still_possible(texts: DataFrame, signed: DataFrame, share: tuple[int, int])
     each = lookup_join(
         signed.filter("n > 0").select(F.struct("k1", "k2").alias("key"), "elements"), keys, ["key"], "inner"
     )
+    each = cut(each)
     rows = cut(each.select("key", F.explode("elements").alias("element")).distinct())
     common = rows.groupBy("element").agg(F.count("*").alias("owners")).filter("owners > 1").select("element")
     shared = rows.join(common, "element", "left_semi").groupBy("key").agg(F.count("*").alias("common"))
@@ -226,7 +227,8 @@ def _still_possible(texts: DataFrame, signed: DataFrame, share: tuple[int, int])
         .filter(meet >= limit * (n + best - meet) - 1e-6)
         .select("bucket", "key", "n", "root", "own", "partner")
     )
-    sized = cut(sized)
+    sets = each.groupBy("key").agg(F.any_value("elements").alias("left"))
+    sized = cut(sized.join(sets, "key"))
     other = sized.select(
         "bucket",
         F.col("key").alias("b"),
@@ -234,14 +236,15 @@ def _still_possible(texts: DataFrame, signed: DataFrame, share: tuple[int, int])
         F.col("root").alias("other"),
         F.col("own").alias("partner"),
         F.col("partner").alias("own"),
+        F.col("left").alias("right"),
     )
-    return (
-        sized.join(other, ["bucket", "own", "partner"])
-        .filter((F.col("key") < F.col("b")) & (F.col("root") != F.col("other")))
-        .filter(_alike(F.col("n"), F.col("m"), share))
-        .select(F.col("key").alias("a"), "b")
-        .distinct()
+    common = F.size(F.array_intersect("left", "right"))
+    possible = (
+        (F.col("key") < F.col("b")) & (F.col("root") != F.col("other")) & _alike(F.col("n"), F.col("m"), share)
     )
+    similar = common * share[1] >= (F.size("left") + F.size("right") - common) * share[0]
+    same = [sized[c] == other[c] for c in ("bucket", "own", "partner")]
+    return sized.join(other, [*same, possible & similar]).select(F.col("key").alias("a"), "b").distinct()
 
 
 def near_duplicate_groups(
@@ -284,8 +287,7 @@ def near_duplicate_groups(
     parted = (
         named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     )
-    second = _still_possible(cut(named.join(parted.select("bucket"), "bucket", "left_semi")), signed, share)
-    more = cut(_verified(second, signed, share))
+    more = cut(_links_between(cut(named.join(parted.select("bucket"), "bucket", "left_semi")), signed, share))
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
     members = lookup_join(
