@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckspark.llm import decontamination, mixing, near_duplicates, pseudonyms, sharding
-from deckspark.llm.common import cut, table
+from deckspark.llm import decontamination, languages, mixing, near_duplicates, pseudonyms, sharding
+from deckspark.llm.common import crc_remainder, cut, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,13 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs)
 
 
+def op8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all texts, learned from the documents of three remainders of four."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_remainder(F.col("doc_id"), 4) == 2)
+    model = languages.train(docs.filter(~F.col("held_out")))
+    return languages.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that lie in 13-word windows of benchmark items."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,6 +73,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op4_mixing": op4_mixing,
     "op6_pseudonyms": op6_pseudonyms,
+    "op8_languages": op8_languages,
     "op9_decontamination": op9_decontamination,
     "op10_near_duplicates": op10_near_duplicates,
 }
