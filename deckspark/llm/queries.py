@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckspark.llm import decontamination, languages, mixing, near_duplicates, pseudonyms, sharding
+from deckspark.llm import decontamination, languages, mixing, near_duplicates, pseudonyms, sharding, toxicity
 from deckspark.llm.common import crc_remainder, cut, table
 
 
@@ -22,6 +22,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all texts; labels of one remainder of five are never looked at."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(crc_remainder(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs, toxicity.train(docs, labels.select("doc_id", "toxic")))
+    return scored.select(
+        "doc_id",
+        (crc_remainder(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150 % of all words takes of each document."""
     rows = mixing.measured(table(spark, sf_dir, "documents"))
@@ -71,6 +84,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
     "op4_mixing": op4_mixing,
     "op6_pseudonyms": op6_pseudonyms,
     "op8_languages": op8_languages,
