@@ -31,7 +31,7 @@ class SparseRows:
         return np.bincount(self.column, self.value * errors[self.row], minlength=size)
 
 
-def fit_logistic(x: SparseRows, target: np.ndarray, size: int, ridge: float = 1e-4, steps: int = 200, weight=None):
+def fit_logistic(x: SparseRows, target: np.ndarray, size: int, ridge: float = 1e-4, steps: int = 300, weight=None):
     """(weights, bias) by full gradients with AdaGrad steps; targets may lie between 0 and 1."""
     w, b = np.zeros(size), 0.0
     weight = np.ones(len(x)) if weight is None else weight
@@ -42,8 +42,8 @@ def fit_logistic(x: SparseRows, target: np.ndarray, size: int, ridge: float = 1e
         g, gb = x.gradient(error, size) + ridge * w, error.sum()
         seen += g * g
         seen_b += gb * gb
-        w -= 0.5 * g / np.sqrt(seen)
-        b -= 0.5 * gb / np.sqrt(seen_b)
+        w -= 1.0 * g / np.sqrt(seen)
+        b -= 1.0 * gb / np.sqrt(seen_b)
     return w, b
 
 

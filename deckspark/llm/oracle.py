@@ -80,3 +80,48 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
     sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM lowered LEFT JOIN words USING (id) LEFT JOIN found USING (id)
 """
+
+ORACLE_SQL["op5_topk"] = r"""
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 64)::BIGINT) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+    FROM usable q JOIN usable c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+ORACLE_SQL["op3_lines"] = r"""
+WITH numbered AS (
+    SELECT doc_id, text, k AS raw, string_split(text, chr(10))[k] AS line
+    FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(k)),
+counted AS (
+    SELECT doc_id, raw, trim(line, E' \t\n\r\x0b\x0c') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY raw) AS p,
+        len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+    FROM numbered WHERE trim(line, E' \t\n\r\x0b\x0c') <> ''),
+grown AS (
+    SELECT *, lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3,
+        n + lead(n, 1) OVER w AS n2
+    FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+spans AS (
+    SELECT doc_id, p, 1 AS size, line AS body FROM grown WHERE n >= 50
+    UNION ALL SELECT doc_id, p, 2, line || chr(10) || line2 FROM grown WHERE line2 IS NOT NULL AND n2 >= 50
+    UNION ALL SELECT doc_id, p, 3, line || chr(10) || line2 || chr(10) || line3 FROM grown WHERE line3 IS NOT NULL),
+later AS (SELECT doc_id, p, size FROM spans QUALIFY row_number() OVER (PARTITION BY size, body ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, j AS p FROM later, unnest(range(p, p + size)) t(j)),
+states AS (
+    SELECT m.doc_id, m.raw, m.line, c.p, g.p IS NOT NULL AS dropped
+    FROM numbered m LEFT JOIN counted c ON m.doc_id = c.doc_id AND m.raw = c.raw LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.p = c.p),
+around AS (
+    SELECT *, last_value(CASE WHEN p IS NOT NULL THEN dropped END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY raw) AS before,
+        first_value(CASE WHEN p IS NOT NULL THEN dropped END IGNORE NULLS) OVER (
+            PARTITION BY doc_id ORDER BY raw ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after
+    FROM states),
+kept AS (SELECT doc_id, raw, line FROM around WHERE CASE WHEN p IS NULL THEN NOT (coalesce(before, false) AND coalesce(after, false)) ELSE NOT dropped END),
+texts AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY raw) AS text FROM kept GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text,
+    (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_removed
+FROM documents d LEFT JOIN texts t ON d.doc_id = t.doc_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckspark.llm import decontamination, languages, mixing, near_duplicates, pseudonyms, sharding, toxicity
+from deckspark.llm import decontamination, languages, lines, mixing, near_duplicates, pseudonyms, sharding, topk, toxicity
 from deckspark.llm.common import crc_remainder, cut, table
 
 
@@ -35,6 +35,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without runs of lines that an earlier one, or an earlier part, has."""
+    return lines.drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150 % of all words takes of each document."""
     rows = mixing.measured(table(spark, sf_dir, "documents"))
@@ -50,6 +55,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth vector."""
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts with their valid numbers, dates and addresses permuted within their formats."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -85,7 +95,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
+    "op3_lines": op3_lines,
     "op4_mixing": op4_mixing,
+    "op5_topk": op5_topk,
     "op6_pseudonyms": op6_pseudonyms,
     "op8_languages": op8_languages,
     "op9_decontamination": op9_decontamination,
