@@ -83,9 +83,9 @@ FROM lowered LEFT JOIN words USING (id) LEFT JOIN found USING (id)
 
 ORACLE_SQL["op5_topk"] = r"""
 WITH usable AS (
-    SELECT vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 64)::BIGINT) AS v
+    SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS v
     FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
     SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
     FROM usable q JOIN usable c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)

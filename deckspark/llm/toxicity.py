@@ -37,6 +37,8 @@ LEXICONS = {
 }
 #: Lexicons that share the words learned from labels, and the least z-score of such a word.
 LEARNED, LEAST_Z = 4, 4.5
+#: Least size of the z-score of a hashed word for the classifier to use it.
+SLOT_Z = 3.0
 PATTERNS = ("shouting", "exclaiming", "repeating")
 #: Labelled rows of each class that word statistics are taken from, and rows of each posterior class that the
 #: classifier is trained on: those with the smallest hashes of their ids.
@@ -91,18 +93,17 @@ def hashed(text: str) -> np.ndarray:
     return np.unique(np.array(whole, np.uint64))
 
 
-def associated_words(owner: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Hashes of words that toxic texts have significantly more often, by the z-score of the log odds ratio."""
-    if not len(owner) or not toxic.any() or toxic.all():
-        return np.empty(0, np.uint64)
-    names, at = np.unique(np.concatenate(owner), return_inverse=True)
-    label = np.repeat(toxic, [len(o) for o in owner])
+def association(values: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value, z-score of its log odds ratio) of the distinct values of some texts."""
+    if not len(values) or not toxic.any() or toxic.all():
+        return np.empty(0, np.uint64), np.empty(0)
+    names, at = np.unique(np.concatenate(values), return_inverse=True)
+    label = np.repeat(toxic, [len(v) for v in values])
     bad = np.bincount(at[label], minlength=len(names)) + 0.5
     good = np.bincount(at[~label], minlength=len(names)) + 0.5
     n_bad, n_good = toxic.sum() + 1, (~toxic).sum() + 1
     odds = np.log(bad / (n_bad - bad)) - np.log(good / (n_good - good))
-    z = odds / np.sqrt(1 / bad + 1 / (n_bad - bad) + 1 / good + 1 / (n_good - good))
-    return names[z > LEAST_Z]
+    return names, odds / np.sqrt(1 / bad + 1 / (n_bad - bad) + 1 / good + 1 / (n_good - good))
 
 
 @dataclass
@@ -230,9 +231,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     )
     fixed = [hashed(entry) for entry in LEXICONS.values()]
     sample = _collected(docs, _smallest(known, "value", LABELLED_ROWS), doc_id, text, Voters())
-    found = associated_words(
+    found, z = association(
         [np.frombuffer(r[2], np.uint64) for r in sample], np.array([r[0] > 0 for r in sample], bool)
     )
+    found = found[z > LEAST_Z]
     dealt = [found[found % np.uint64(LEARNED) == np.uint64(k)] for k in range(LEARNED)]
     voters = Voters([*fixed, *dealt])
     spark = docs.sparkSession
@@ -278,16 +280,16 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     ids = _smallest(judged.dropDuplicates(["doc_id"]), "high", TRAINING_ROWS).select("doc_id", "value")
     chosen = _collected(docs, ids, doc_id, text, voters)
     target = np.array([r[0] for r in chosen])
+    high = target >= 0.5
+    slots = [np.unique((np.frombuffer(r[2], np.uint64) >> _SPAN).astype(np.int64)) for r in chosen]
+    names, z = association(slots, high)
+    # Words that do not go with the labels would add noise with the length of a text.
+    telling = np.zeros(SLOTS, bool)
+    telling[names[np.abs(z) > SLOT_Z].astype(np.int64)] = True
     columns = [
-        np.concatenate(
-            [
-                np.unique((np.frombuffer(r[2], np.uint64) >> _SPAN).astype(np.int64)),
-                SLOTS + np.flatnonzero(np.frombuffer(r[1], np.uint8)),
-            ]
-        )
-        for r in chosen
+        np.concatenate([s[telling[s]], SLOTS + np.flatnonzero(np.frombuffer(r[1], np.uint8))])
+        for s, r in zip(slots, chosen, strict=True)
     ]
-    high = target >= 0.5
     weight = np.where(high, shares.get(True, 0) / max(1, high.sum()), shares.get(False, 0) / max(1, (~high).sum()))
     if not len(chosen):
         return ToxicityModel(voters, model, np.zeros(SLOTS + voters.number), -3.0)
