@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckspark.llm import decontamination, languages, lines, mixing, near_duplicates, pseudonyms, sharding, topk, toxicity
+from deckspark.llm import decontamination, languages, lines, maxent, mixing, near_duplicates, pseudonyms, sharding, topk, toxicity
 from deckspark.llm.common import crc_remainder, cut, table
 
 
@@ -66,6 +66,22 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs)
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all texts, learned from four remainders of five."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = docs.withColumn("training", crc_remainder(F.col("doc_id"), 5) != 1)
+    scored = maxent.score_texts(marked, "training")
+    return scored.select(
+        "doc_id",
+        (crc_remainder(F.col("doc_id"), 5) == 1).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 def op8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all texts, learned from the documents of three remainders of four."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_remainder(F.col("doc_id"), 4) == 2)
@@ -99,6 +115,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
     "op6_pseudonyms": op6_pseudonyms,
+    "op7_lm_scores": op7_lm_scores,
     "op8_languages": op8_languages,
     "op9_decontamination": op9_decontamination,
     "op10_near_duplicates": op10_near_duplicates,
