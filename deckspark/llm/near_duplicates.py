@@ -36,6 +36,8 @@ from deckspark.session import shared_dir
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
+#: Hashed parts of a set whose sizes bound what two sets have in common.
+PARTS = 32
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 _DOC = np.uint64(0x9FB21C651E98DF25)
 
@@ -210,7 +212,15 @@ def _links_between(texts: DataFrame, signed: DataFrame, share: tuple[int, int])
     each = cut(each)
     rows = cut(each.select("key", F.explode("elements").alias("element")).distinct())
     common = rows.groupBy("element").agg(F.count("*").alias("owners")).filter("owners > 1").select("element")
-    shared = rows.join(common, "element", "left_semi").groupBy("key").agg(F.count("*").alias("common"))
+    part = F.pmod("element", F.lit(PARTS))
+    shared = (
+        rows.join(common, "element", "left_semi")
+        .groupBy("key")
+        .agg(
+            F.count("*").alias("common"),
+            F.array(*[F.count(F.when(part == k, 1)).cast("int") for k in range(PARTS)]).alias("parts"),
+        )
+    )
     steps = 32.0  # size classes per factor e
     n, common_n = F.col("n").cast("double"), F.coalesce("common", F.lit(0)).cast("double")
     limit = share[0] / share[1]
