@@ -129,13 +129,12 @@ SIGNED = pa.schema(
         ("k2", pa.int64()),
         ("n", pa.int32()),
         ("bands", pa.list_(pa.int64())),
-        ("elements", pa.list_(pa.int32())),
     ]
 )
 
 
 def sign(docs: DataFrame, text: str, keep: list[str], bands: int, rows: int, weighted: bool) -> DataFrame:
-    """Sets and buckets of all texts: (k1, k2) names the set of shingles, 32 bits stand for each element."""
+    """Names of the shingle sets (k1, k2) of all texts, their sizes and buckets."""
     frame = docs.select(*keep, F.col(text).alias("_text"))
     names = [*keep, *SIGNED.names]
 
@@ -144,26 +143,39 @@ def sign(docs: DataFrame, text: str, keep: list[str], bands: int, rows: int, wei
             for part in slices(batch.column(len(keep))):
                 owner, code = shingles(part, weighted=weighted)
                 border = np.searchsorted(owner, np.arange(len(part) + 1))
-                count = np.diff(border)
                 signed = band_hashes(dart_signatures(owner, code, len(part), bands * rows), bands, rows)
-                has = count > 0
+                has = np.diff(border) > 0
                 band_border = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
                 columns = [
-                    pa.array(_sums(mixed(code), border)),
-                    pa.array(_sums(mixed(code + _DOC), border)),
-                    pa.array(count.astype(np.int32)),
+                    *_names(code, border),
+                    pa.array(np.diff(border).astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(band_border), pa.array(signed[has].ravel())),
-                    pa.ListArray.from_arrays(
-                        pa.array(border.astype(np.int32)), pa.array((code >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                    ),
                 ]
                 rest = [batch.column(k).slice(part.first, len(part)) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*rest, *columns], names)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
-    return frame.mapInArrow(
-        make, f"{kept}, k1 bigint, k2 bigint, n int, bands array<bigint>, elements array<int>"
-    )
+    return frame.mapInArrow(make, f"{kept}, k1 bigint, k2 bigint, n int, bands array<bigint>")
+
+
+def _names(code: np.ndarray, border: np.ndarray) -> list[pa.Array]:
+    return [pa.array(_sums(mixed(code), border)), pa.array(_sums(mixed(code + _DOC), border))]
+
+
+def shingle_sets(docs: DataFrame, text: str, weighted: bool) -> DataFrame:
+    """(key, elements) of all texts with shingles; 32 bits stand for each element."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                owner, code = shingles(part, weighted=weighted)
+                border = np.searchsorted(owner, np.arange(len(part) + 1))
+                short = pa.array((code >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                sets = pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), short)
+                yield pa.RecordBatch.from_arrays([*_names(code, border), sets], ["k1", "k2", "elements"])
+
+    made = docs.select(text).mapInArrow(make, "k1 bigint, k2 bigint, elements array<int>")
+    return made.filter(F.size("elements") > 0).select(F.struct("k1", "k2").alias("key"), "elements")
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -174,15 +186,8 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _verified(pairs: DataFrame, signed: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Those pairs (a, b) whose sets have a similarity of at least share[0]/share[1]."""
-    pairs = cut(pairs)
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    needed = lookup_join(
-        signed.filter("n > 0").select(F.struct("k1", "k2").alias("key"), "elements"), keys, ["key"], "inner"
-    )
-    sets = needed.groupBy("key").agg(F.any_value("elements").alias("elements"))
-    sets = cut(sets)
     left = sets.select(F.col("key").alias("a"), F.col("elements").alias("left"))
     right = sets.select(F.col("key").alias("b"), F.col("elements").alias("right"))
     common = F.size(F.array_intersect("left", "right"))
@@ -197,7 +202,7 @@ def _alike(n: Column, m: Column, share: tuple[int, int]) -> Column:
     return F.least(n, m) * share[1] >= F.greatest(n, m) * share[0]
 
 
-def _links_between(texts: DataFrame, signed: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _still_possible(texts: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links (a, b) between different groups in one bucket; ``texts`` has (bucket, key, n, root).
 
     Elements of a text that no other of these texts has cannot be common to a pair. With the number of the others,
@@ -272,25 +277,38 @@ def near_duplicate_groups(
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     signed = _written(sign(narrow, "text", ["doc_id", "text_hash"], bands, rows, weighted))
-    full = signed.filter("n > 0")
-    entries = cut(
-        full.select(F.struct("k1", "k2").alias("key"), "n", F.explode("bands").alias("bucket")).distinct()
+    entries = signed.filter("n > 0").select("k1", "k2", "n", F.explode("bands").alias("bucket"))
+    # Buckets with several texts; copies of one text are one.
+    several = (
+        entries.groupBy("bucket")
+        .agg(*[f(k).alias(f"{f.__name__}_{k}") for k in ("k1", "k2") for f in (F.min, F.max)])
+        .filter("min_k1 <> max_k1 or min_k2 <> max_k2")
+        .select("bucket")
+    )
+    met_texts = _written(
+        entries.join(several, "bucket").distinct().select("bucket", F.struct("k1", "k2").alias("key"), "n")
+    )
+    sets = _written(
+        lookup_join(
+            shingle_sets(narrow, "text", weighted), cut(met_texts.select("key").distinct()), ["key"], "inner"
+        )
+        .groupBy("key")
+        .agg(F.any_value("elements").alias("elements"))
     )
-    # Texts of buckets with several, each with the number of meetings it has over all its buckets. The text
-    # with most is the middle of its group, if the group has one: it becomes the bucket's first.
-    sizes = entries.groupBy("bucket").agg(F.count("*").alias("texts")).filter("texts > 1")
-    shared = cut(entries.join(sizes, "bucket").select("bucket", "key", "n", "texts"))
-    met = shared.groupBy("key").agg(F.sum("texts").alias("met"))
-    shared = cut(shared.drop("texts").join(met, "key"))
+    # Each text with the number of meetings it has over all its buckets. The text with most is the middle of
+    # its group, if the group has one: it becomes the bucket's first.
+    sizes = met_texts.groupBy("bucket").agg(F.count("*").alias("texts"))
+    met = met_texts.join(sizes, "bucket").groupBy("key").agg(F.sum("texts").alias("met"))
+    shared = met_texts.join(met, "key")
     heads = shared.groupBy("bucket").agg(F.max(F.struct("met", "key", "n")).alias("head"))
-    first = shared.join(heads, "bucket").filter(F.col("key") != F.col("head.key")).filter(
+    first = met_texts.join(heads, "bucket").filter(F.col("key") != F.col("head.key")).filter(
         _alike(F.col("n"), F.col("head.n"), share)
     )
-    links = cut(_verified(first.select(F.col("head.key").alias("a"), F.col("key").alias("b")).distinct(), signed, share))
+    links = cut(_verified(first.select(F.col("head.key").alias("a"), F.col("key").alias("b")).distinct(), sets, share))
     roots = connected_components(links)
     # Texts that share a bucket and are still in different groups.
-    named = cut(
-        shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+    named = _written(
+        met_texts.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
             "bucket", "key", "n", F.coalesce("root", "key").alias("root")
         )
     )
