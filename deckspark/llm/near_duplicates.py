@@ -203,22 +203,18 @@ def _alike(n: Column, m: Column, share: tuple[int, int]) -> Column:
 
 
 def _still_possible(texts: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Links (a, b) between different groups in one bucket; ``texts`` has (bucket, key, n, root).
+    """Pairs (a, b) of different groups in one bucket that can be similar enough; ``texts`` has (bucket, key, n, root).
 
     Elements of a text that no other of these texts has cannot be common to a pair. With the number of the others,
     and for each class of partner sizes, that bounds a text's similarity to anything of the class. Texts meet
     only in classes where both bounds allow it: those that differ from the middle of a large group in too
     many places never meet its other members.
     """
-    keys = cut(texts.select("key").distinct())
-    each = lookup_join(
-        signed.filter("n > 0").select(F.struct("k1", "k2").alias("key"), "elements"), keys, ["key"], "inner"
-    )
-    each = cut(each)
-    rows = cut(each.select("key", F.explode("elements").alias("element")).distinct())
+    own_sets = lookup_join(sets, cut(texts.select("key").distinct()), ["key"], "inner")
+    rows = own_sets.select("key", F.explode("elements").alias("element")).distinct()
     common = rows.groupBy("element").agg(F.count("*").alias("owners")).filter("owners > 1").select("element")
     part = F.pmod("element", F.lit(PARTS))
-    shared = (
+    counts = (
         rows.join(common, "element", "left_semi")
         .groupBy("key")
         .agg(
@@ -227,23 +223,22 @@ def _still_possible(texts: DataFrame, sets: DataFrame, share: tuple[int, int]) -
         )
     )
     steps = 32.0  # size classes per factor e
-    n, common_n = F.col("n").cast("double"), F.coalesce("common", F.lit(0)).cast("double")
+    n, common_n = F.col("n").cast("double"), F.col("common").cast("double")
     limit = share[0] / share[1]
     low, high = F.exp(F.col("partner") / steps), F.exp((F.col("partner") + 1) / steps)
     best = F.greatest(low, F.least(high, common_n))
     meet = F.least(best, common_n)
-    sized = (
-        texts.join(shared, "key", "left")
+    # Texts without a common element have no partner here.
+    sized = _written(
+        texts.join(counts, "key")
         .withColumn("own", F.floor(F.log(n) * steps))
         .withColumn(
             "partner",
             F.explode(F.sequence(F.floor(F.log(n * limit) * steps - 1e-6), F.floor(F.log(n / limit) * steps + 1e-6))),
         )
         .filter(meet >= limit * (n + best - meet) - 1e-6)
-        .select("bucket", "key", "n", "root", "own", "partner")
+        .select("bucket", "key", "n", "root", "own", "partner", "parts")
     )
-    sets = each.groupBy("key").agg(F.any_value("elements").alias("left"))
-    sized = cut(sized.join(sets, "key"))
     other = sized.select(
         "bucket",
         F.col("key").alias("b"),
@@ -251,15 +246,17 @@ def _still_possible(texts: DataFrame, sets: DataFrame, share: tuple[int, int]) -
         F.col("root").alias("other"),
         F.col("own").alias("partner"),
         F.col("partner").alias("own"),
-        F.col("left").alias("right"),
+        F.col("parts").alias("parts_b"),
     )
-    common = F.size(F.array_intersect("left", "right"))
-    possible = (
-        (F.col("key") < F.col("b")) & (F.col("root") != F.col("other")) & _alike(F.col("n"), F.col("m"), share)
+    most = F.aggregate(F.zip_with("parts", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return (
+        sized.join(other, ["bucket", "own", "partner"])
+        .filter((F.col("key") < F.col("b")) & (F.col("root") != F.col("other")))
+        .filter(_alike(F.col("n"), F.col("m"), share))
+        .filter(most * share[1] >= (F.col("n") + F.col("m") - most) * share[0])
+        .select(F.col("key").alias("a"), "b")
+        .distinct()
     )
-    similar = common * share[1] >= (F.size("left") + F.size("right") - common) * share[0]
-    same = [sized[c] == other[c] for c in ("bucket", "own", "partner")]
-    return sized.join(other, [*same, possible & similar]).select(F.col("key").alias("a"), "b").distinct()
 
 
 def near_duplicate_groups(
@@ -315,7 +312,8 @@ def near_duplicate_groups(
     parted = (
         named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     )
-    more = cut(_links_between(cut(named.join(parted.select("bucket"), "bucket", "left_semi")), signed, share))
+    second = _still_possible(_written(named.join(parted.select("bucket"), "bucket", "left_semi")), sets, share)
+    more = cut(_verified(second, sets, share))
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
     members = lookup_join(
