@@ -31,6 +31,8 @@ FEATURES = 1 << 12
 #: Labelled rows of a language that the models are fitted on, those with the smallest hashes.
 ROWS_PER_LANGUAGE = 1500
 UNDETERMINED = "und"
+#: Lanes in which the rows of one language are ranked first.
+LANES = 64
 _SIGNS = np.uint32(0x9E3779B1)
 _LETTER = np.full(256, 32, np.uint32)
 _LETTER[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -154,9 +156,13 @@ def labelled_sample(docs: DataFrame, text: str, lang: str, rows_per_language: in
     rows = docs.filter(has_letter(F.col(text)) & F.col(lang).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("_by")
     )
-    # The rank filter also runs before the exchange, so no task gets a language whole.
-    window = Window.partitionBy("lang").orderBy("_by")
-    return rows.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= rows_per_language)
+    # First ranked in many lanes of a language, so that no task gets one whole; what is left is bounded.
+    lane = F.pmod(F.monotonically_increasing_id(), F.lit(LANES))
+    lanes = Window.partitionBy("lang", "_lane").orderBy("_by", "text")
+    few = rows.withColumn("_lane", lane).withColumn("_rank", F.row_number().over(lanes))
+    few = few.filter(F.col("_rank") <= rows_per_language)
+    window = Window.partitionBy("lang").orderBy("_by", "text")
+    return few.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= rows_per_language)
 
 
 def has_letter(text: Column) -> Column:
