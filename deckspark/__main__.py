@@ -48,7 +48,8 @@ def seed(tables: Tables, args: argparse.Namespace) -> None:
     landed = f"{tables.root}/landed/{version}"
     if args.manifest:
         done = seed_from_manifest(
-            tables.spark, args.manifest, landed, tables.cards, tables.status, version, args.bulk
+            tables.spark, args.manifest, landed, tables.cards, tables.status, version, args.bulk,
+            args.refresh_all, args.lines,
         )
     else:
         raw = land_export(tables.spark, args.export, landed, args.lines)
@@ -67,6 +68,7 @@ def discover(tables: Tables, args: argparse.Namespace) -> None:
     sink = StubSink(tables.found, tables.corpus.stub_log, f"{tables.root}/broken_pages", args.merge_every)
     pages = read_pages(tables.spark, args.landing, stream=True, files_per_batch=args.files_per_batch)
     start_discovery(pages, sink, f"{tables.root}/checkpoints/discover", not args.keep_running).awaitTermination()
+    sink.finish()
 
 
 def submit(tables: Tables, args: argparse.Namespace) -> None:
@@ -121,7 +123,8 @@ def parser() -> argparse.ArgumentParser:
         job.add_argument("--landing", required=True)
         job.add_argument("--files-per-batch", type=int, default=1000)
         job.add_argument("--keep-running", action="store_true")
-        job.add_argument("--merge-every", type=int, default=1, help="micro-batches per merge")
+        if run is discover:
+            job.add_argument("--merge-every", type=int, default=1, help="micro-batches per merge")
         job.set_defaults(run=run)
     jobs.add_parser("build", help="build the deck tables from the logs").set_defaults(run=build)
     for name, run, limit in (("sweeps", sweeps, 1), ("decks", decks, BATCH_SIZE)):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deckspark.functions import scalars as S
-from deckspark.functions.formats import FORMATS
+from deckspark.functions.formats import formats_of_card
 from deckspark.operators.ordered import first_per_key, global_row_number
 from deckspark.operators.skew import lookup_join
 from deckspark.schemas import CARD_COLUMNS, CORRUPT, LEGALITIES
@@ -100,12 +100,7 @@ def count_changes(merged: DataFrame) -> DataFrame:
 
 def eligible_formats(cards: DataFrame, card_id: str = "id") -> DataFrame:
     """One row per card and format it may be played in."""
-    tokens = [
-        F.lit(f.token) if f.legality is None else F.when(F.col(f.legality) == "legal", f.token)
-        for f in FORMATS
-    ]
-    listed = F.array_compact(F.array(*tokens))
-    return cards.select(F.col(card_id).alias("card_id"), F.explode(listed).alias("format"))
+    return cards.select(F.col(card_id).alias("card_id"), F.explode(formats_of_card()).alias("format"))
 
 
 def extend_status(status: DataFrame, cards: DataFrame) -> DataFrame:

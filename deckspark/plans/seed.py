@@ -61,9 +61,12 @@ def seed_from_manifest(
     status: SnapshotTable,
     version: int,
     bulk_type: str = "oracle_cards",
+    refresh_all: bool = False,
+    lines: bool = False,
 ) -> Seeded:
     path = export_path(read_manifest(spark, manifest), bulk_type)
-    return seed_cards(land_export(spark, path, f"{landed}/{bulk_type}"), cards, status, version)
+    raw = land_export(spark, path, f"{landed}/{bulk_type}", lines)
+    return seed_cards(raw, cards, status, version, refresh_all)
 
 
 def table_stats(cards: DataFrame, status: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -28,8 +28,9 @@ def export_path(manifest: DataFrame, bulk_type: str = "oracle_cards") -> str:
 
 
 def read_export(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Card objects with their ``ordinal`` in file order.
+    """Card objects with their ``ordinal``: by file, place of the part in it, and row.
 
+    Spark deals out parts of files by size, so row numbers alone would not follow the files.
     An export is one JSON array and so one task; land it once (``land_export``)
     and go on from there. ``lines`` reads exports split into lines instead,
     which Spark can divide.
@@ -38,10 +39,12 @@ def read_export(spark: SparkSession, path: str, lines: bool = False) -> DataFram
     # One misfit would mark a whole array as corrupt. Variants take any value, so
     # the types are checked card by card.
     loose = spark.read.schema(", ".join(f"{n} variant" for n in names)).option("multiLine", not lines)
-    texts = loose.json(path).select(
-        F.to_json(F.struct(*names)).alias("card"),
-        F.monotonically_increasing_id().alias("ordinal"),
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("part"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    texts = loose.json(path).select(F.to_json(F.struct(*names)).alias("card"), place.alias("ordinal"))
     return parse_export(texts)
 
 

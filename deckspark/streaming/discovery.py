@@ -39,14 +39,21 @@ class StubSink:
         current = upsert_stubs(stored, fold_stubs(waiting)).select(*stored.columns)
         return self.decks.write(current, version)
 
+    def finish(self) -> None:
+        """Merge what still waits; for the end of a run."""
+        end = self.log.end()
+        if (self.decks.latest() or 0) < end:
+            self.merge(end)
 
     def take_pages(self, pages: DataFrame, batch_id: int) -> None:
-        """The same for raw pages; pages that are no valid JSON are set aside as text."""
+        """The same for raw pages; pages without a landing number, or no valid JSON, are set aside as text."""
         pages = pages.persist()
         try:
-            broken = pages.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT, "seq")
+            usable = F.col(CORRUPT).isNull() & F.col("seq").isNotNull()
+            text = F.coalesce(CORRUPT, F.to_json(F.struct(*[c for c in pages.columns if c != CORRUPT])))
+            broken = pages.filter(~usable).select(text.alias(CORRUPT), "seq")
             broken.write.mode("overwrite").parquet(f"{self.broken}/batch={batch_id}")
-            self(parse_stubs(pages), batch_id)
+            self(parse_stubs(pages.filter(usable)), batch_id)
         finally:
             pages.unpersist()
 

@@ -60,6 +60,18 @@ def test_first_of_name_and_collisions(spark, export):
     assert C.count_collisions(parsed).first()[0] == 2
 
 
+def test_file_order_over_several_files(spark, tmp_path):
+    """The first card of a name is in the first file, though the second one is larger and read before."""
+    parts = tmp_path / "parts"
+    parts.mkdir()
+    (parts / "a.json").write_text(json.dumps({"name": "Bolt", "id": "first"}) + "\n")
+    rest = [{"name": "Bolt", "id": "second"}] + [{"name": f"c{i}", "id": str(i)} for i in range(2000)]
+    (parts / "b.json").write_text("\n".join(json.dumps(c) for c in rest))
+    parsed = C.parse_cards(read_export(spark, str(parts), lines=True))
+    kept = {r["card_name"]: r["scryfall_id"] for r in C.first_of_name(parsed).collect()}
+    assert kept["Bolt"] == "first" and len(kept) == 2001
+
+
 def test_landing_is_reused(spark, export, tmp_path):
     landed = str(tmp_path / "landed")
     before = land_export(spark, export, landed).count()

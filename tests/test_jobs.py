@@ -42,6 +42,19 @@ def test_bucketed_decks_are_merged_without_moving_them(spark, tmp_path):
     assert table().read().count() == 20
 
 
+def test_other_bucket_counts_keep_all_rows(spark, tmp_path):
+    def table(buckets):
+        return SnapshotTable(spark, str(tmp_path / "decks"), DECKS, bucket_by=KEY, buckets=buckets)
+
+    table(8).write(deck_frame(spark, 500), 1)
+    stub = ("e1", "new", "modern", None, 1, None, None, None, None, None, 1, 8, 0, 0)
+    folded = fold_stubs(spark.createDataFrame([stub], STUB_LOG))
+    other = table(4)
+    assert other.write(upsert_stubs(other.read(), folded), 2).count() == 501
+    assert table(8).read().count() == 501 and table(16).read(below=2).count() == 500
+    assert other.versions() == [1, 2]
+
+
 def test_jobs_end_to_end(spark, tmp_path, capsys):
     root = ["--root", str(tmp_path / "corpus"), "--buckets", "4"]
     export = tmp_path / "cards.json"
