@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deckspark.llm.linear import fit_svm
+from deckspark.llm.linear import PackedRows, fit_svm
 from deckspark.llm.words import Slice, slices
 
 #: Hashed features. Unigrams and bigrams of the commonest bytes share the space with trigrams.
@@ -77,13 +77,13 @@ class Vote:
     bias: np.ndarray
 
     @staticmethod
-    def fit(x: np.ndarray, y: list, names: list) -> Vote:
+    def fit(x: PackedRows, y: list, names: list) -> Vote:
         pairs = list(itertools.combinations(range(len(names)), 2))
         label = np.array([names.index(v) for v in y])
         made = []
         for a, b in pairs:
             mine = (label == a) | (label == b)
-            made.append(fit_svm(x[mine], np.where(label[mine] == a, 1.0, -1.0)))
+            made.append(fit_svm(x.part(mine), np.where(label[mine] == a, 1.0, -1.0)))
         weights = np.array([w for w, _ in made], np.float32).reshape(len(pairs), x.shape[1])
         return Vote(names, pairs, weights, np.array([b for _, b in made], np.float32))
 
@@ -113,15 +113,15 @@ class LanguageModel:
     within: list[Vote]
 
     @staticmethod
-    def fit(x: np.ndarray, y: list[str]) -> LanguageModel:
+    def fit(x: PackedRows, y: list[str]) -> LanguageModel:
         languages = sorted(set(y))
-        family = group_languages({name: x[[v == name for v in y]].mean(0) for name in languages})
+        family = group_languages({name: x[np.array([v == name for v in y])].mean(0) for name in languages})
         of = {name: k for k, names in enumerate(family) for name in names}
         between = Vote.fit(x, [of[v] for v in y], list(range(len(family))))
         within = []
         for names in family:
             mine = [v in names for v in y]
-            within.append(Vote.fit(x[mine], [v for v in y if v in names], names))
+            within.append(Vote.fit(x.part(mine), [v for v in y if v in names], names))
         return LanguageModel(family, between, within)
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -186,9 +186,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang
     if not rows:
         return None
     rows.sort()
-    x = np.stack([np.frombuffer(r[1], np.uint8) for r in rows]).astype(np.float32)
-    x /= np.maximum(1e-9, np.sqrt((x * x).sum(1, keepdims=True)))
-    return LanguageModel.fit(x, [r[0] for r in rows])
+    names, packed = [r[0] for r in rows], np.stack([np.frombuffer(r[1], np.uint8) for r in rows])
+    del rows
+    return LanguageModel.fit(PackedRows(packed), names)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", lang: str = "lang_pred", score: str = "score"):
