@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deckspark.llm.common import bound_batches
 from deckspark.llm.words import ALPHANUMERIC, Slice, slices, words
 
 WIDTH = 13
@@ -33,7 +34,7 @@ SAMPLE = 8
 PHRASES = 200_000
 #: Bound in bytes on a block, with its item ids.
 BLOCK_BYTES = 64 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 class Ranks:
@@ -304,6 +305,7 @@ def _search(docs: DataFrame, text: str, out: str, sent) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, docs_columns)
 
     docs_columns = docs.columns
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(search, docs.schema)
 
 

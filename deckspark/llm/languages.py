@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from deckspark.llm.common import bound_batches
 from deckspark.llm.linear import PackedRows, fit_svm
 from deckspark.llm.words import Slice, slices
 
@@ -176,11 +177,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(1), 1 << 19):
-                rows = [np.round(v * 255 / max(1e-9, v.max())).astype(np.uint8).tobytes() for v in features(part)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.first, len(part)), pa.array(rows, pa.binary())], ["lang", "vector"]
-                )
+                for few in _few(part, 256):
+                    rows = [np.round(v * 255 / max(1e-9, v.max())).astype(np.uint8).tobytes() for v in features(few)]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(few.first, len(few)), pa.array(rows, pa.binary())], ["lang", "vector"]
+                    )
 
+    bound_batches(spark)
     sample = labelled_sample(docs, text, lang, rows_per_language).select("lang", "text")
     rows = sample.mapInArrow(vectors, "lang string, vector binary").collect()
     if not rows:
@@ -195,6 +198,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", la
     """``docs`` with the predicted language and its score; columns of these names are replaced."""
     spark: SparkSession = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
+    bound_batches(spark)
     frame = docs.drop(lang, score).withColumn("_letter", has_letter(F.col(text)))
     names = [*frame.columns[:-1], lang, score]
     at = frame.columns.index(text)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deckspark.llm.common import cut
+from deckspark.llm.common import bound_batches, cut
 from deckspark.llm.components import connected_components
 from deckspark.llm.words import SPACED, Slice, mixed, slices, words
 from deckspark.operators.skew import lookup_join
@@ -133,6 +133,10 @@ SIGNED = pa.schema(
 )
 
 
+#: Bytes of text whose shingles are hashed together.
+SLICE = 1 << 20
+
+
 def sign(docs: DataFrame, text: str, keep: list[str], bands: int, rows: int, weighted: bool) -> DataFrame:
     """Names of the shingle sets (k1, k2) of all texts, their sizes and buckets."""
     frame = docs.select(*keep, F.col(text).alias("_text"))
@@ -140,7 +144,7 @@ def sign(docs: DataFrame, text: str, keep: list[str], bands: int, rows: int, wei
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(len(keep))):
+            for part in slices(batch.column(len(keep)), SLICE):
                 owner, code = shingles(part, weighted=weighted)
                 border = np.searchsorted(owner, np.arange(len(part) + 1))
                 signed = band_hashes(dart_signatures(owner, code, len(part), bands * rows), bands, rows)
@@ -154,6 +158,7 @@ def sign(docs: DataFrame, text: str, keep: list[str], bands: int, rows: int, wei
                 rest = [batch.column(k).slice(part.first, len(part)) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*rest, *columns], names)
 
+    bound_batches(docs.sparkSession)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
     return frame.mapInArrow(make, f"{kept}, k1 bigint, k2 bigint, n int, bands array<bigint>")
 
@@ -167,13 +172,14 @@ def shingle_sets(docs: DataFrame, text: str, weighted: bool) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(0)):
+            for part in slices(batch.column(0), SLICE):
                 owner, code = shingles(part, weighted=weighted)
                 border = np.searchsorted(owner, np.arange(len(part) + 1))
                 short = pa.array((code >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 sets = pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), short)
                 yield pa.RecordBatch.from_arrays([*_names(code, border), sets], ["k1", "k2", "elements"])
 
+    bound_batches(docs.sparkSession)
     made = docs.select(text).mapInArrow(make, "k1 bigint, k2 bigint, elements array<int>")
     return made.filter(F.size("elements") > 0).select(F.struct("k1", "k2").alias("key"), "elements")
 
