@@ -57,11 +57,12 @@ STUB_LOG = (
     "sweep_card string, sweep_format string, page int, seq bigint, pos int, batch bigint"
 )
 
+# ``stub_batches`` is how many batches of stubs had been logged when the submission was judged.
 SUBMISSION_LOG = (
     "format string, moxfield_id string, seq bigint, fetched_at timestamp, error boolean, "
     "card_ids array<int>, commander_ids array<int>, "
     "bridge array<struct<card_id: int, board: string, pos: int, quantity: int>>, "
-    "unresolved array<string>, n_rows int, batch bigint"
+    "unresolved array<string>, n_rows int, stub_batches bigint, batch bigint"
 )
 
 UNKNOWN_CARDS = "ts timestamp, format string, moxfield_id string, card_name string"
