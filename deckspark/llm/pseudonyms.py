@@ -12,6 +12,7 @@ columns pass unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,11 @@ CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 PHONE = r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9A-Za-z])"
 ADDRESS = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
 SOCIAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
-DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z])"
+#: Behind an ISO date the time of day may follow.
+DATE = (
+    r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?=T[0-9])|(?![0-9A-Za-z]))"
+    r"|(?:[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z]))"
+)
 MAIL = r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z._%+-]{1,64}+@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)+"
 KINDS = {"date": DATE, "social": SOCIAL, "address": ADDRESS, "phone": PHONE, "card": CARD, "mail": MAIL}
 #: Numbers start with a digit or a plus sign; asking that first spares the alternatives at most positions.
@@ -36,14 +41,14 @@ DATE_FORMS = {"-": "yyyy-MM-dd", "/": "MM/dd/yyyy", ".": "dd.MM.yyyy"}
 _HALF = {10: 17, 36: 11}
 
 
-def _noise(key: str, kind: str, step: Column, other: Column, size: Column) -> Column:
+def _noise(key: str, kind: Column, step: Column, other: Column, size: Column) -> Column:
     """The round function: a keyed SHA-256 of the round and the other half, modulo ``size``."""
-    text = F.concat_ws("|", F.lit(key), F.lit(kind), step.cast("string"), other.cast("string"), size.cast("string"))
+    text = F.concat_ws("|", F.lit(key), kind, step.cast("string"), other.cast("string"), size.cast("string"))
     number = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
     return F.pmod(number, size)
 
 
-def feistel(left: Column, right: Column, left_size: Column, right_size: Column, key: str, kind: str) -> Column:
+def feistel(left: Column, right: Column, left_size: Column, right_size: Column, key: str, kind: Column) -> Column:
     """Permutes the pairs (left, right) with left < left_size and right < right_size."""
     start = F.struct(
         left.alias("a"), right.alias("b"), left_size.alias("m"), right_size.alias("n")
@@ -59,11 +64,36 @@ def feistel(left: Column, right: Column, left_size: Column, right_size: Column,
 def permute_string(text: Column, base: int, key: str, kind: str) -> Column:
     """A string over the first ``base`` digits and lower-case letters, permuted within its length.
 
-    Strings beyond two halves of bounded length keep the rest behind them as it is.
+    Strings beyond two halves of bounded length are cut into blocks of about equal length. One block after the
+    other is permuted under a key that takes in all other blocks as they are then, so going back
+    from the last block undoes it: the whole is one-to-one, and each symbol counts for all blocks.
     """
+    most = 2 * _HALF[base]
+
+    def chained(t: Column) -> Column:
+        def turn(whole: Column, k: Column) -> Column:
+            at, width = k * t["width"], t["width"]
+            before, after = F.substring(whole, F.lit(1), at), F.substr(whole, at + width + 1)
+            others = F.concat_ws(":", F.lit(f"{kind}{base}"), k.cast("string"), before, after)
+            block = F.struct(F.substr(whole, at + 1, width).alias("text"), others.alias("kind"))
+            return F.concat(before, _bound(block, lambda x: _permute_block(x["text"], base, key, x["kind"])), after)
+
+        return F.aggregate(F.sequence(F.lit(0), F.ceil(F.length(t["text"]) / most).cast("int") - 1), t["text"], turn)
+
+    width = F.ceil(F.length(text) / F.ceil(F.length(text) / most)).cast("int")
+    long = _bound(F.struct(text.alias("text"), width.alias("width")), chained)
+    return F.when(F.length(text) <= most, _permute_block(text, base, key, F.lit(f"{kind}{base}"))).otherwise(long)
+
+
+def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is worked out once."""
+    return F.transform(F.array(value), make)[0]
+
+
+def _permute_block(text: Column, base: int, key: str, kind: Column) -> Column:
+    """A string of at most two halves, permuted within its length."""
     powers = F.array(*[F.lit(base**k) for k in range(_HALF[base] + 1)])
-    used = F.least(F.length(text), F.lit(2 * _HALF[base]))
-    head, tail = F.substring(text, F.lit(1), used), F.substr(text, used + 1)
+    used = F.length(text)
     short = F.floor(used / 2).cast("int")
     long = used - short
 
@@ -77,19 +107,12 @@ def permute_string(text: Column, base: int, key: str, kind: str) -> Column:
         return F.lpad(F.lower(F.conv(value.cast("string"), 10, base)), length, F.lit("0"))
 
     ends = feistel(
-        number(F.substring(head, F.lit(1), short)),
-        number(F.substr(head, short + 1)),
-        size(short),
-        size(long),
-        key,
-        f"{kind}{base}",
+        number(F.substring(text, F.lit(1), short)), number(F.substr(text, short + 1)), size(short), size(long), key, kind
     )
-    mixed = F.concat(digits(ends["a"], short), digits(ends["b"], long), tail)
+    mixed = F.concat(digits(ends["a"], short), digits(ends["b"], long))
     # One character has no halves: it is turned by a keyed step.
-    alone = digits(
-        F.pmod(number(head) + _noise(key, f"{kind}{base}", F.lit(0), F.lit(0), F.lit(base)), F.lit(base)), F.lit(1)
-    )
-    return F.when(F.length(text) == 0, text).when(used == 1, alone).otherwise(mixed)
+    alone = digits(F.pmod(number(text) + _noise(key, kind, F.lit(0), F.lit(0), F.lit(base)), F.lit(base)), F.lit(1))
+    return F.when(used == 0, text).when(used == 1, alone).otherwise(mixed)
 
 
 def _refill(pattern: Column, symbols: Column, fills: str) -> Column:
@@ -145,7 +168,7 @@ def _social(item: Column, key: str) -> Column:
     area = F.substring(digits, 1, 3).cast("long")
     rank = area - 1 - F.when(area > 666, 1).otherwise(0)
     low = (F.substring(digits, 4, 2).cast("long") - 1) * 9999 + F.substring(digits, 6, 4).cast("long") - 1
-    ends = feistel(rank, low, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"), key, "social")
+    ends = feistel(rank, low, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"), key, F.lit("social"))
     new_area = ends["a"] + 1 + F.when(ends["a"] + 1 >= 666, 1).otherwise(0)
     text = F.format_string(
         "%03d-%02d-%04d", new_area, F.floor(ends["b"] / 9999) + 1, ends["b"] % 9999 + 1
@@ -158,7 +181,7 @@ def _address(item: Column, key: str) -> Column:
     octet = [parts[k].cast("long") for k in range(4)]
     valid = reduce(Column.__and__, [(o <= 255) & (parts[k] == o.cast("string")) for k, o in enumerate(octet)])
     half = F.lit(65536).cast("long")
-    ends = feistel(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], half, half, key, "address")
+    ends = feistel(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], half, half, key, F.lit("address"))
     text = F.concat_ws(
         ".",
         *[f(ends[e]).cast("string") for e in ("a", "b") for f in (lambda x: F.shiftright(x, 8), lambda x: x.bitwiseAND(255))],
@@ -174,7 +197,7 @@ def _date(item: Column, key: str) -> Column:
     number = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
     days = DAY_ROWS * DAY_COLUMNS
     ends = feistel(
-        F.floor(number / DAY_COLUMNS), number % DAY_COLUMNS, F.lit(DAY_ROWS).cast("long"), F.lit(DAY_COLUMNS).cast("long"), key, "date"
+        F.floor(number / DAY_COLUMNS), number % DAY_COLUMNS, F.lit(DAY_ROWS).cast("long"), F.lit(DAY_COLUMNS).cast("long"), key, F.lit("date")
     )
     new = F.date_add(F.lit(FIRST_DAY).cast("date"), (ends["a"] * DAY_COLUMNS + ends["b"]).cast("int"))
     text = F.coalesce(*[F.when(sign == s, F.date_format(new, form)) for s, form in DATE_FORMS.items()])

@@ -104,6 +104,24 @@ def test_pseudonyms_are_one_to_one_and_linked(spark):
     assert len({r[0] for r in digits.collect()}) == 1000
 
 
+def test_long_mails_and_time_stamps_are_replaced_whole(spark):
+    same = "x" * 40
+    locals_ = [*(f"{same}{k:03d}" for k in range(300)), *(f"{k:03d}{same}" for k in range(300)), "z" * 64, "ab"]
+    df = spark.createDataFrame([(f"to {x}@mail.example now",) for x in locals_], "text string")
+    new = [r["text"] for r in pseudonyms.pseudonymise(df).collect()]
+    made = [re.fullmatch("to ([0-9a-z]+)@mail.example now", t).group(1) for t in new]
+    assert [len(m) for m in made] == [len(x) for x in locals_] and len(set(made)) == len(made)
+    # Each symbol counts for all blocks: texts that share their head, or their tail, share neither.
+    for part in (made[:300], made[300:600]):
+        assert len({m[:12] for m in part}) == len({m[-12:] for m in part}) == 300
+    stamps = ["2024-02-29T10:00", "2024-02-29Tue", "2024-02-29 10:00", "02/29/2024T10"]
+    rows = pseudonyms.pseudonymise(spark.createDataFrame([(t,) for t in stamps], "text string")).collect()
+    assert [r["n_changed"] for r in rows] == [1, 0, 1, 0]
+    assert rows[0]["text"][:10] == rows[2]["text"][:10] != stamps[0][:10] and rows[0]["text"].endswith("T10:00")
+    head = spark.range(1).select(pseudonyms.permute_string(F.lit("z" * 30), 36, "k", "t")).first()[0]
+    assert head[22:] != "z" * 8
+
+
 def test_index_finds_all_windows(spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice(list("abc"), rng.integers(0, 60))) for _ in range(30)] + [None]
