@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier.
 
 Voters are lexicons (fixed ones, and words that the labelled training rows associate with toxic
-texts, dealt to several lexicons) and patterns of the whole text. A voter fires or not. The label model
+texts, counted over all of them and dealt to several lexicons) and patterns of the whole text. A voter fires or not. The label model
 is a two-class mixture over the votes: it is fitted by expectation maximisation on the counts of vote
 patterns of all texts, of which there are at most 2^voters, with the labelled training rows held to their
 class. It starts with independent voters, finds pairs whose votes are correlated within the classes,
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from deckspark.llm.common import cut
 from deckspark.llm.linear import SparseRows, fit_logistic
 from deckspark.llm.words import ALPHANUMERIC, Slice, slices, words
-from deckspark.operators.skew import lookup_join
+from deckspark.operators.skew import fits_broadcast, lookup_join
 
 #: Words of abuse by kind. Fixed values.
 LEXICONS = {
@@ -40,9 +40,10 @@ LEARNED, LEAST_Z = 4, 4.5
 #: Least size of the z-score of a hashed word for the classifier to use it.
 SLOT_Z = 3.0
 PATTERNS = ("shouting", "exclaiming", "repeating")
-#: Labelled rows of each class that word statistics are taken from, and rows of each posterior class that the
-#: classifier is trained on: those with the smallest hashes of their ids.
-LABELLED_ROWS, TRAINING_ROWS = 4000, 4000
+#: Most learned words that the lexicons take, those with the highest z-scores.
+LEXICON_WORDS = 1 << 20
+#: Rows of each posterior class that the classifier is trained on: those with the smallest hashes of their ids.
+TRAINING_ROWS = 4000
 #: Hashed word features of the classifier; a feature for each voter follows.
 SLOTS = 1 << 16
 _SPAN = np.uint64(48)
@@ -180,6 +181,52 @@ def _texts_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFr
     return found.dropDuplicates(["doc_id"])
 
 
+def learned_words(docs: DataFrame, known: DataFrame, doc_id: str, text: str, most: int = LEXICON_WORDS) -> np.ndarray:
+    """Sorted hashes of the words that go with toxic texts, counted over all texts with a label.
+
+    ``known`` has (doc_id, value), unique by id. A row that repeats an id is no further text.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    numbers = rows.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    present = cut(known.join(numbers, "doc_id"))
+    sizes = {r[0]: r[1] for r in present.groupBy(F.col("value") > 0).count().collect()}
+    if len(sizes) < 2:
+        return np.empty(0, np.uint64)
+    alone = present.filter("rows = 1").drop("rows")  # has no hot key, so the texts need not be stored
+    side = F.broadcast(alone) if fits_broadcast(alone) else alone
+    labelled = rows.join(side, "doc_id").select("value", "text")
+    repeated = present.filter("rows > 1").drop("rows")
+    if not repeated.isEmpty():
+        again = lookup_join(rows, repeated, ["doc_id"], "inner").groupBy("doc_id")
+        again = again.agg(F.max("value").alias("value"), F.min("text").alias("text"))
+        labelled = labelled.unionByName(again.select("value", "text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column(0).to_numpy(zero_copy_only=False) > 0
+            for part in slices(batch.column(1)):
+                own = words(part, ALPHANUMERIC)
+                names, at = np.unique(own.hashes(), return_inverse=True)
+                each = np.unique(own.doc * np.int64(len(names)) + at)  # a word counts once in a text
+                if not len(each):
+                    continue
+                label = toxic[part.first + each // len(names)]
+                sums = [np.bincount(each[side] % len(names), minlength=len(names)) for side in (label, ~label)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (names.view(np.int64), *sums)], ["word", "bad", "good"])
+
+    sums = (
+        labelled.mapInArrow(count, "word bigint, bad bigint, good bigint")
+        .groupBy("word")
+        .agg((F.sum("bad") + 0.5).alias("bad"), (F.sum("good") + 0.5).alias("good"))
+    )
+    bad, good, n_bad, n_good = F.col("bad"), F.col("good"), F.lit(sizes[True] + 1.0), F.lit(sizes[False] + 1.0)
+    odds = F.log(bad / (n_bad - bad)) - F.log(good / (n_good - good))
+    z = odds / F.sqrt(1 / bad + 1 / (n_bad - bad) + 1 / good + 1 / (n_good - good))
+    best = sums.select("word", z.alias("z")).filter(F.col("z") > LEAST_Z).orderBy(F.desc("z"), "word").limit(most)
+    found = best.select("word").toArrow()["word"].to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
 def _smallest(rows: DataFrame, by: str, most: int) -> DataFrame:
     """At most ``most`` ids of each value of ``by``, those with the smallest hashes."""
     for keys in ([by, "_lane"], [by]):  # in lanes first, so that no task gets a whole class
@@ -233,11 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("value"))
     )
     fixed = [hashed(entry) for entry in LEXICONS.values()]
-    sample = _collected(docs, _smallest(known, "value", LABELLED_ROWS), doc_id, text, Voters())
-    found, z = association(
-        [np.frombuffer(r[2], np.uint64) for r in sample], np.array([r[0] > 0 for r in sample], bool)
-    )
-    found = found[z > LEAST_Z]
+    found = learned_words(docs, known, doc_id, text)
     dealt = [found[found % np.uint64(LEARNED) == np.uint64(k)] for k in range(LEARNED)]
     voters = Voters([*fixed, *dealt])
     spark = docs.sparkSession

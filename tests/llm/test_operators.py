@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
-from deckspark.llm import decontamination, languages, lines, maxent, mixing, near_duplicates, pseudonyms, sharding, topk
+from deckspark.llm import decontamination, languages, lines, maxent, mixing, near_duplicates, pseudonyms, sharding, topk, toxicity
 from deckspark.llm.oracle import ORACLE_SQL
 from deckspark.llm.words import SPACED, slices, words
 
@@ -206,6 +206,26 @@ def test_scores_are_whole_and_add_up(spark):
     assert maxent.score_texts(docs.limit(0), "training").count() == 0
 
 
+def test_toxic_words_are_counted_over_all_labels(spark):
+    # 60 of 1000 toxic and none of 12,000 clean texts: too few beside 4000 clean ones, enough beside all.
+    rows = spark.range(13_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") < 60, "plain text rareword, rareword").otherwise("plain text").alias("text"),
+    )
+    labels = rows.select("doc_id", (F.col("doc_id") < 1000).cast("int").alias("toxic"))
+    known = labels.select("doc_id", F.col("toxic").cast("double").alias("value"))
+    wanted = toxicity.hashed("rareword").tolist()
+    assert toxicity.learned_words(rows, known, "doc_id", "text").tolist() == wanted
+    # Rows that repeat an id are one text, and null and empty texts have no words.
+    odd = rows.union(rows.filter("doc_id < 60")).union(spark.createDataFrame([(20_000, None), (20_001, "")], "doc_id long, text string"))
+    assert toxicity.learned_words(odd, known, "doc_id", "text").tolist() == wanted
+    assert not len(toxicity.learned_words(rows, known.filter("value = 0"), "doc_id", "text"))
+    model = toxicity.train(rows, labels)
+    assert wanted[0] in np.concatenate(model.voters.lexicons)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(odd.filter("doc_id in (5, 5000, 20000, 20001)"), model).collect()}
+    assert scores[5] > scores[5000] and scores[20_000] == scores[20_001]
+
+
 def test_top_k_leaves_bad_vectors_out(spark):
     rng = np.random.default_rng(2)
     vectors = [rng.normal(size=6).tolist() for _ in range(60)] + [None, [float("nan")] * 6, [None] * 6]
