@@ -8,7 +8,9 @@ and a fingerprint stands for all windows that chose it. Fingerprints that occur
 positions are joined by fingerprint and window, the first stays, and matched windows that overlap or
 touch are one match, which so extends both ways as far as the texts agree.
 
-The result is exact: a line goes if and only if it lies in such a run that occurred earlier.
+The result is exact: a line goes if and only if it lies in such a run that occurred earlier. Only whole lines are
+compared, as in the SQL of `op3_lines`: a passage that starts and ends inside longer lines stays. Those are
+found by ``passages``.
 
 Defined cases: null stays null; blank lines go with a run only if it has them inside; rows that repeat
 both id and text are one document and get the same result; null ids come first; texts of any

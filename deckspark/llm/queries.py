@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckspark.llm import decontamination, languages, lines, maxent, mixing, near_duplicates, pseudonyms, sharding, topk, toxicity
+from deckspark.llm import decontamination, languages, lines, maxent, mixing, near_duplicates, passages, pseudonyms, sharding, topk, toxicity
 from deckspark.llm.common import crc_remainder, cut, table
 
 
@@ -40,6 +40,11 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages of 50 words and more that an earlier one, or an earlier part, has."""
+    return passages.drop_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150 % of all words takes of each document."""
     rows = mixing.measured(table(spark, sf_dir, "documents"))
@@ -112,6 +117,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
     "op3_lines": op3_lines,
+    "op3_passages": op3_passages,
     "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
     "op6_pseudonyms": op6_pseudonyms,

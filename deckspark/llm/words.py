@@ -33,6 +33,7 @@ def byte_class(*spans: tuple[int, int], lower: bool = True) -> tuple[np.ndarray,
 #: Words without ASCII white space, and words of letters, digits and all beyond ASCII. Bytes of
 #: multi-byte characters are 0x80 and up, so byte classes and character classes agree. Fixed values.
 SPACED = byte_class((0x20, 0x20), (0x09, 0x0D))
+EXACT = byte_class((0x20, 0x20), (0x09, 0x0D), lower=False)
 ALPHANUMERIC = byte_class((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 
 
@@ -116,6 +117,16 @@ def words(part: Slice, kind: tuple[np.ndarray, np.ndarray]) -> Words:
     )
 
 
+def run_hashes(hashes: np.ndarray, first: np.ndarray, number: np.ndarray | int) -> np.ndarray:
+    """Hashes of the runs of ``number`` words that start at the words ``first``; equal runs have equal ones."""
+    if not len(hashes):
+        return np.empty(0, np.uint64)
+    power, back = _powers(len(hashes))
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
+    return mixed((sums[first + number] - sums[first]) * back[first])
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finishes 64-bit hashes: each input bit turns about half of the output bits."""
     h = h ^ (h >> np.uint64(32))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
-from deckspark.llm import decontamination, languages, lines, maxent, mixing, near_duplicates, pseudonyms, sharding, topk, toxicity
+from deckspark.llm import decontamination, languages, lines, maxent, mixing, near_duplicates, passages, pseudonyms, sharding, topk, toxicity
 from deckspark.llm.oracle import ORACLE_SQL
 from deckspark.llm.words import SPACED, slices, words
 
@@ -122,6 +122,39 @@ def test_long_mails_and_time_stamps_are_replaced_whole(spark):
     assert head[22:] != "z" * 8
 
 
+def test_passages_are_found_wherever_lines_break(spark):
+    rng = np.random.default_rng(7)
+    fresh = iter(range(10**6))
+    passage = [f"p{k}" for k in range(14)]
+    rows = []
+    for k in range(40):
+        w = [f"w{next(fresh)}" for _ in range(rng.integers(0, 30))]
+        for _ in range(rng.integers(0, 3)):
+            cut_at = rng.integers(0, len(w) + 1)
+            a, b = sorted(rng.integers(0, 15, 2))
+            w[cut_at:cut_at] = passage[a:b]
+        rows.append((k, "".join(x + str(rng.choice([" ", "\n", "\t \n"])) for x in w)))
+    rows += [(7, rows[7][1]), (None, " ".join(passage)), (50, None), (51, ""), (52, "é " * 40 + "end")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = sorted(map(tuple, passages.drop_repeated_passages(docs, run_words=10).collect()), key=str)
+    seen, wanted = set(), []
+    done = {}
+    for key, whole in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        if (key, whole) not in done:
+            spans = [m.span() for m in re.finditer("[^ \t-\r]+", whole or "")]
+            w, drop = [whole[a:b] for a, b in spans], set()
+            for i in range(len(w) - 9):
+                drop |= set(range(i, i + 10)) if tuple(w[i : i + 10]) in seen else set()
+                seen.add(tuple(w[i : i + 10]))
+            text = whole
+            for i in sorted(drop, reverse=True):
+                text = text[: spans[i][0]] + text[spans[i + 1][0] if i + 1 < len(w) else spans[i][1] :]
+            done[key, whole] = (key, text, len(drop))
+        wanted.append(done[key, whole])
+    assert sum(r[2] > 0 for r in wanted) > 5
+    assert got == sorted(wanted, key=str)
+
+
 def test_index_finds_all_windows(spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice(list("abc"), rng.integers(0, 60))) for _ in range(30)] + [None]
