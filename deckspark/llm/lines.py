@@ -8,6 +8,10 @@ and a fingerprint stands for all windows that chose it. Fingerprints that occur
 positions are joined by fingerprint and window, the first stays, and matched windows that overlap or
 touch are one match, which so extends both ways as far as the texts agree.
 
+All windows are stored, not only the minima that they select, so that windows are compared with each first
+occurrence and no match has to be extended; a fingerprint follows from its window and selects nothing.
+This costs disk (README).
+
 The result is exact: a line goes if and only if it lies in such a run that occurred earlier. Only whole lines are
 compared, as in the SQL of `op3_lines`: a passage that starts and ends inside longer lines stays. Those are
 found by ``passages``.
