@@ -125,3 +125,45 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') EN
     (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_removed
 FROM documents d LEFT JOIN texts t ON d.doc_id = t.doc_id
 """
+
+ORACLE_SQL["op11_resampling"] = r"""
+WITH steps AS (
+    SELECT b AS byte, list_reduce(list_prepend(b::BIGINT, [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS entry
+    FROM range(256) t(b)),
+crc_table AS (SELECT list(entry ORDER BY byte) AS entries FROM steps),
+docs AS (
+    SELECT row_number() OVER () AS id, doc_id, coalesce(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+    FROM documents),
+held AS (SELECT id, word, count(*) AS n FROM (SELECT id, unnest(w) AS word FROM docs) GROUP BY id, word),
+asked AS (
+    SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark)
+    GROUP BY word),
+buckets AS (
+    SELECT word, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(word))),
+            lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)),
+        lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+    FROM (SELECT word FROM held UNION SELECT word FROM asked), crc_table),
+s AS (SELECT bucket, sum(n) AS s FROM held JOIN buckets USING (word) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS t FROM asked JOIN buckets USING (word) GROUP BY bucket),
+sizes AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS t_all),
+gains AS (
+    SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((s::DOUBLE + 1) * (t_all + 10000))))::BIGINT AS gain
+    FROM s LEFT JOIN t USING (bucket), sizes),
+summed AS (SELECT id, sum(n * gain)::BIGINT AS total FROM held JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY id),
+weighed AS (
+    SELECT id, doc_id, len(w)::BIGINT AS n_features,
+        CASE WHEN len(w) = 0 THEN 0 ELSE (total - ((total % len(w)) + len(w)) % len(w)) // len(w) END::BIGINT AS weight,
+        ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+    FROM docs LEFT JOIN summed USING (id)),
+scored AS (
+    SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM weighed),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place,
+        count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS wanted
+    FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= wanted THEN place END::BIGINT AS rank FROM placed
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckspark.llm import decontamination, languages, lines, maxent, mixing, near_duplicates, passages, pseudonyms, sharding, topk, toxicity
+from deckspark.llm import decontamination, fingerprints, languages, lines, maxent, mixing, near_duplicates, passages, pseudonyms, resampling, sharding, topk, toxicity, whitening
 from deckspark.llm.common import crc_remainder, cut, table
 
 
@@ -113,6 +113,30 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words and more, drawn by their likeness to the benchmark's words."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts, and how alike they and the next document's are."""
+    found = fingerprints.fingerprint_neighbours(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.packed(F.col("bits")).alias("fingerprint"),
+        fingerprints.packed(F.col("edited_bits")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"),
+        fingerprints.likeness(F.col("bits"), F.col("next_bits")).alias("near_next"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole vectors on the first 16 components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -125,4 +149,7 @@ QUERIES = {
     "op8_languages": op8_languages,
     "op9_decontamination": op9_decontamination,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_resampling": op11_resampling,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_whitening": op13_whitening,
 }
