@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deckspark.operators.skew import lookup_join
+from deckspark.operators.skew import fits_broadcast, lookup_join
 from deckspark.session import shared_dir
 
 
@@ -13,6 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores in front until the frame has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def join_rows(docs: DataFrame, side: DataFrame, on: str) -> DataFrame:
+    """``docs`` inner-joined with a table by a key that names single rows.
+
+    A measured small table is broadcast. Beyond that the rows move once, by a key that no two different
+    rows share; their texts are not stored for it.
+    """
+    return docs.join(F.broadcast(side) if fits_broadcast(side) else side, on)
+
+
 #: Bytes of text that travel to Python at once, where the session does not say otherwise.
 BATCH_BYTES = 8 << 20
 

@@ -20,20 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckspark.llm.common import bound_batches
+from deckspark.llm.common import bound_batches, free_name
 from deckspark.llm.linear import PackedRows, fit_svm
 from deckspark.llm.words import Slice, slices
 
 #: Hashed features. Unigrams and bigrams of the commonest bytes share the space with trigrams.
 FEATURES = 1 << 12
-#: Labelled rows of a language that the models are fitted on, those with the smallest hashes.
+#: About as many labelled texts of a language the models are fitted on, those with the smallest hashes.
 ROWS_PER_LANGUAGE = 1500
 UNDETERMINED = "und"
-#: Lanes in which the rows of one language are ranked first.
-LANES = 64
 _SIGNS = np.uint32(0x9E3779B1)
 _LETTER = np.full(256, 32, np.uint32)
 _LETTER[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -98,7 +96,8 @@ class Vote:
             wins[:, b] += m <= 0
             sums[:, a] += m
             sums[:, b] -= m
-        best = np.argmax(wins + 0.4 * np.tanh(sums), axis=1)
+        # Among the classes with most wins the greatest sum of margins decides.
+        best = np.argmax(np.where(wins == wins.max(1, keepdims=True), sums, -np.inf), axis=1)
         sure = np.ones(len(x))
         for (a, b), m in zip(self.pairs, margins.T, strict=True):
             for own, signed in ((a, m), (b, -m)):
@@ -153,17 +152,23 @@ def group_languages(means: dict[str, np.ndarray]) -> list[list[str]]:
 
 
 def labelled_sample(docs: DataFrame, text: str, lang: str, rows_per_language: int) -> DataFrame:
-    """(lang, text): the rows of each language with the smallest hashes of their texts."""
+    """(lang, text): of each language about ``rows_per_language`` distinct texts, those with the smallest hashes.
+
+    Hashes are even, so the wanted share of a language's distinct texts is the one below that share of all
+    hashes: narrow rows are counted and nothing is ranked. As many thresholds as languages go to the driver. A
+    language with no more texts than wanted is taken whole; else their number strays by about its square root.
+    """
     rows = docs.filter(has_letter(F.col(text)) & F.col(lang).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("_by")
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("by")
     )
-    # First ranked in many lanes of a language, so that no task gets one whole; what is left is bounded.
-    lane = F.pmod(F.monotonically_increasing_id(), F.lit(LANES))
-    lanes = Window.partitionBy("lang", "_lane").orderBy("_by", "text")
-    few = rows.withColumn("_lane", lane).withColumn("_rank", F.row_number().over(lanes))
-    few = few.filter(F.col("_rank") <= rows_per_language)
-    window = Window.partitionBy("lang").orderBy("_by", "text")
-    return few.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= rows_per_language)
+    counts = rows.select("lang", "by").distinct().groupBy("lang").count().collect()
+    most = {r["lang"]: min(2**63 - 1, -(2**63) + 2**64 * rows_per_language // r["count"]) for r in counts}
+    if not most:
+        return rows.select("lang", "text").limit(0)
+    limits = F.create_map(*[x for name, top in most.items() for x in (F.lit(name), F.lit(top).cast("long"))])
+    few = rows.filter(F.col("by") <= F.element_at(limits, F.col("lang")))
+    # Copies are combined before they are moved.
+    return few.groupBy("lang", "by").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def has_letter(text: Column) -> Column:
@@ -199,10 +204,11 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", la
     spark: SparkSession = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     bound_batches(spark)
-    frame = docs.drop(lang, score).withColumn("_letter", has_letter(F.col(text)))
+    letter = free_name(docs, "_letter")
+    frame = docs.drop(lang, score).withColumn(letter, has_letter(F.col(text)))
     names = [*frame.columns[:-1], lang, score]
     at = frame.columns.index(text)
-    schema = frame.drop("_letter").withColumn(lang, F.lit("")).withColumn(score, F.lit(0.0)).schema
+    schema = frame.drop(letter).withColumn(lang, F.lit("")).withColumn(score, F.lit(0.0)).schema
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value

@@ -12,7 +12,8 @@ All windows are stored, not only the minima that they select, so that windows ar
 occurrence and no match has to be extended; a fingerprint follows from its window and selects nothing.
 This costs disk (README).
 
-The result is exact: a line goes if and only if it lies in such a run that occurred earlier. Only whole lines are
+A line goes if and only if it lies in such a run that occurred earlier, byte for byte, up to collisions of 64-bit
+hashes (the texts behind equal hashes are not compared). Only whole lines are
 compared, as in the SQL of `op3_lines`: a passage that starts and ends inside longer lines stays. Those are
 found by ``passages``.
 
@@ -23,6 +24,7 @@ length are handled whole, one at a time.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deckspark.llm.common import cut
-from deckspark.llm.words import SPACED, slices, words, mixed
+from deckspark.llm.common import cut, free_name
+from deckspark.llm.words import byte_class, mixed, slices, words
 
 RUN_LINES, RUN_WORDS = 3, 50
 _SPACE = " \t\n\r\x0b\x0c"
+#: A word of a line, and a whole line as one word of all its bytes.
+WORD = re.compile("[^\x20\x09-\x0d]+")
+WHOLE = byte_class(lower=False)
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,13 +52,10 @@ def windows(lines: list[str], run_lines: int, run_words: int) -> tuple[np.ndarra
     n = len(lines)
     hashes, counts = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     if n:
-        for part in slices(pa.array([line.replace(" ", "\x01") for line in lines], pa.string())):
-            own = words(part, SPACED)
-            sums = np.zeros(len(part), np.uint64)
-            place = np.arange(len(own.doc)) - np.searchsorted(own.doc, own.doc)
-            np.add.at(sums, own.doc, mixed(own.hashes() + place.astype(np.uint64) * _SEED))
-            hashes[part.first : part.first + len(part)] = mixed(sums)
-        counts = np.array([len(line.split()) for line in lines])
+        for part in slices(pa.array(lines, pa.string())):
+            own = words(part, WHOLE)
+            hashes[part.first + own.doc] = own.hashes()
+        counts = np.array([len(WORD.findall(line)) for line in lines])
     found = []
     for size in range(1, run_lines + 1):
         if n < size:
@@ -118,10 +120,11 @@ def drop_repeated_runs(
                     yield pa.RecordBatch.from_arrays([doc, *[pa.array(c.astype(np.int64)) for c in found]], names)
 
     key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
-    keyed = docs.withColumn("_doc", key)
-    kind = keyed.schema["_doc"].dataType.simpleString()
+    document, gone_runs = free_name(docs, "_doc"), free_name(docs, "_gone")
+    keyed = docs.withColumn(document, key)
+    kind = keyed.schema[document].dataType.simpleString()
     places = cut(
-        keyed.select("_doc", F.col(text).alias("_text")).mapInArrow(
+        keyed.select(F.col(document).alias("_doc"), F.col(text).alias("_text")).mapInArrow(
             _batched(fingerprints), f"doc {kind}, print bigint, window bigint, first bigint, lines bigint"
         )
     )
@@ -133,20 +136,20 @@ def drop_repeated_runs(
         .select("print", "window", "origin")
     )
     later = places.join(firsts, ["print", "window"]).filter(F.struct("doc", "first") > F.col("origin"))
-    gone = later.groupBy("doc").agg(F.collect_set(F.struct("first", "lines")).alias("_gone"))
-    matched = keyed.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").select(*docs.columns, "_gone")
+    gone = later.groupBy("doc").agg(F.collect_set(F.struct("first", "lines")).alias(gone_runs))
+    matched = keyed.join(gone.withColumnRenamed("doc", document), document, "left").select(*docs.columns, gone_runs)
 
     names = [*docs.drop(removed).columns, removed]
-    source = [*docs.columns, "_gone"]
+    source = [*docs.columns, gone_runs]
     at = source.index(text)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = batch.column(at).to_pylist(), []
-            for row, runs in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            for row, hits in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 cover: set[int] = set()
-                if runs:
-                    spans = [(r["first"], r["lines"]) for r in runs]
+                if hits:
+                    spans = [(r["first"], r["lines"]) for r in hits]
                     texts[row] = without_lines(texts[row], spans)
                     cover = {k for first, number in spans for k in range(first, first + number)}
                 counts.append(len(cover))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deckspark.llm.common import bound_batches, cut
+from deckspark.llm.common import bound_batches, cut, free_name, join_rows
 from deckspark.llm.components import connected_components
 from deckspark.llm.words import SPACED, Slice, mixed, slices, words
 from deckspark.operators.skew import lookup_join
@@ -342,15 +342,16 @@ def near_duplicate_groups(
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id, then text hash."""
+    key = free_name(docs, "_key")
     groups = cut(near_duplicate_groups(docs, text, doc_id))
     first = Window.partitionBy("root").orderBy("doc_id", "text_hash")
     kept = groups.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1")
-    keys = kept.select(F.struct(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).alias("_key")).distinct()
+    keys = kept.select(F.struct(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).alias(key)).distinct()
     marked = docs.withColumn(
-        "_key", F.struct(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"))
+        key, F.struct(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"))
     )
-    out = lookup_join(marked, keys, ["_key"], "inner")
+    out = join_rows(marked, keys, key)
     # Only rows that repeat both id and text are still several.
     if not groups.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["_key"])
+        out = out.dropDuplicates([key])
     return out.select(*docs.columns)

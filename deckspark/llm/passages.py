@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deckspark.llm.common import bound_batches, cut
+from deckspark.llm.common import bound_batches, cut, free_name
 from deckspark.llm.lines import RUN_WORDS, _batched
 from deckspark.llm.words import EXACT, Slice, Words, mixed, run_hashes, slices, words
 from deckspark.operators.skew import fits_broadcast
@@ -56,12 +56,14 @@ def drop_repeated_passages(
     """``docs`` with repeated passages removed from its texts, and the number of words that went."""
     bound_batches(docs.sparkSession)
     key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
-    keyed = docs.withColumn("_doc", key)
-    kind = keyed.schema["_doc"].dataType.simpleString()
+    document, gone_runs = free_name(docs, "_doc"), free_name(docs, "_gone")
+    places_in = free_name(docs, "_at")
+    keyed = docs.withColumn(document, key)
+    kind = keyed.schema[document].dataType.simpleString()
 
     def with_lists(lists: DataFrame, how: str) -> DataFrame:
         lists = cut(lists)
-        return keyed.join(F.broadcast(lists) if fits_broadcast(lists) else lists, "_doc", how)
+        return keyed.join(F.broadcast(lists) if fits_broadcast(lists) else lists, document, how)
 
     def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +76,7 @@ def drop_repeated_passages(
                 doc = batch.column(0).take(pa.array(part.first + own.doc[first]))
                 yield pa.RecordBatch.from_arrays([doc, *map(pa.array, columns)], ["doc", "print", "stretch", "first", "runs"])
 
-    texts = keyed.select("_doc", F.col(text).alias("_text"))
+    texts = keyed.select(F.col(document).alias("_doc"), F.col(text).alias("_text"))
     places = cut(texts.mapInArrow(_batched(minima), f"doc {kind}, print bigint, stretch bigint, first int, runs int"))
     place = F.struct("doc", "first", "runs")
     # The first place of each stretch; a third of all rows may share one, so it is a partial minimum.
@@ -83,7 +85,7 @@ def drop_repeated_passages(
     whole = places.join(copied, ["print", "stretch"]).filter(place > F.col("origin")).select(place.alias("p"))
     again = firsts.groupBy("print").count().filter("count > 1").select("print")
     opened = firsts.join(again, "print").select("origin.*").groupBy("doc")
-    asked = opened.agg(F.collect_list(F.struct("first", "runs")).alias("_at")).withColumnRenamed("doc", "_doc")
+    asked = opened.agg(F.collect_list(F.struct("first", "runs")).alias(places_in)).withColumnRenamed("doc", document)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +102,7 @@ def drop_repeated_passages(
                 doc = batch.column(0).take(pa.array(part.first + row))
                 yield pa.RecordBatch.from_arrays([doc, *map(pa.array, columns)], ["doc", "window", "first"])
 
-    open_texts = with_lists(asked, "inner").select("_doc", F.col(text).alias("_text"), "_at")
+    open_texts = with_lists(asked, "inner").select(F.col(document).alias("_doc"), F.col(text).alias("_text"), F.col(places_in))
     found = cut(open_texts.mapInArrow(_batched(runs), f"doc {kind}, window bigint, first int"))
     origins = (
         found.groupBy("window")
@@ -110,10 +112,10 @@ def drop_repeated_passages(
     )
     later = found.join(origins, "window").filter(F.struct("doc", "first") > F.col("origin"))
     single = later.select(F.struct("doc", "first", F.lit(1).alias("runs")).alias("p"))
-    gone = whole.union(single).select("p.*").groupBy("doc").agg(F.collect_list(F.struct("first", "runs")).alias("_gone"))
-    gone = gone.withColumnRenamed("doc", "_doc")
-    matched = with_lists(gone, "left").select(*docs.columns, "_gone")
-    source, names = [*docs.columns, "_gone"], [*docs.drop(removed).columns, removed]
+    gone = whole.union(single).select("p.*").groupBy("doc").agg(F.collect_list(F.struct("first", "runs")).alias(gone_runs))
+    gone = gone.withColumnRenamed("doc", document)
+    matched = with_lists(gone, "left").select(*docs.columns, gone_runs)
+    source, names = [*docs.columns, gone_runs], [*docs.drop(removed).columns, removed]
     at = source.index(text)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

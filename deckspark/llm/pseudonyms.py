@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deckspark.llm.common import free_name
+
 ROUNDS = 8
 #: Patterns of the items, tried in this order at each position. Fixed values.
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
@@ -233,10 +235,11 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str = "pseudonym-key",
         .when(F.col(text).rlike("[0-9]"), F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)))
         .when(F.col(text).isNotNull(), F.array().cast("array<string>"))
     )
-    new = F.transform("_items", lambda m: F.struct(pseudonymise_item(m, key).alias("new"), m.alias("old")))
-    found = df.withColumn("_items", items).withColumn("_items", new)
+    found_items = free_name(df, "_items")
+    new = F.transform(found_items, lambda m: F.struct(pseudonymise_item(m, key).alias("new"), m.alias("old")))
+    found = df.withColumn(found_items, items).withColumn(found_items, new)
     gaps = F.when(mails, F.split(text, ANY, -1)).otherwise(F.split(text, NUMBERS, -1))
-    fills = F.transform("_items", lambda m: F.coalesce(m["new"], m["old"]))
+    fills = F.transform(found_items, lambda m: F.coalesce(m["new"], m["old"]))
     joined = F.array_join(
         F.flatten(
             F.zip_with(
@@ -245,7 +248,7 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str = "pseudonym-key",
         ),
         "",
     )
-    count = F.coalesce(F.size(F.filter("_items", lambda m: m["new"].isNotNull())), F.lit(0))
-    return found.withColumn(changed, F.when(F.col("_items").isNull(), 0).otherwise(count)).withColumn(
-        text, F.when(F.size("_items") > 0, joined).otherwise(F.col(text))
-    ).drop("_items")
+    count = F.coalesce(F.size(F.filter(found_items, lambda m: m["new"].isNotNull())), F.lit(0))
+    return found.withColumn(changed, F.when(F.col(found_items).isNull(), 0).otherwise(count)).withColumn(
+        text, F.when(F.size(found_items) > 0, joined).otherwise(F.col(text))
+    ).drop(found_items)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deckspark.llm.common import free_name
 from deckspark.operators.ordered import global_row_number
 
 #: Multiplier of the generator in the published algorithm, as two 32-bit halves. Fixed value.
@@ -84,13 +85,14 @@ def assign_shards(df: DataFrame, key: str, shards: int, shard: str = "shard", gr
         raise ValueError("at least one shard is needed")
     kind = dict(df.dtypes)[key]
     number = F.col(key) if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(key)
-    out = df.withColumn("_jump", jump_state(number, shards))
-    out = out.withColumn(shard, F.col("_jump.bucket").cast("int"))
+    jump = free_name(df, "_jump")
+    out = df.withColumn(jump, jump_state(number, shards))
+    out = out.withColumn(shard, F.col(jump)["bucket"].cast("int"))
     if grown:
         # With one more shard the loop stops in the new one only if it was the next bucket.
-        moved = F.when(F.col("_jump.next") == shards, F.lit(shards)).otherwise(F.col("_jump.bucket"))
+        moved = F.when(F.col(jump)["next"] == shards, F.lit(shards)).otherwise(F.col(jump)["bucket"])
         out = out.withColumn(grown, moved.cast("int"))
-    return out.drop("_jump")
+    return out.drop(jump)
 
 
 def shard_slots(df: DataFrame, order: list[str], shard: str = "shard", slot: str = "slot") -> DataFrame:
@@ -101,6 +103,7 @@ def shard_slots(df: DataFrame, order: list[str], shard: str = "shard", slot: str
     end, spreads over partitions; each partition's numbers start after those before.
     Hand over narrow rows: they are checkpointed twice.
     """
-    rows = df.withColumn("_at", F.monotonically_increasing_id()).checkpoint()
-    numbered = global_row_number(rows, [*order, "_at"], (shard,), slot)
-    return numbered.withColumn(slot, F.col(slot) - 1).drop("_at")
+    at = free_name(df, "_at")
+    rows = df.withColumn(at, F.monotonically_increasing_id()).checkpoint()
+    numbered = global_row_number(rows, [*order, at], (shard,), slot)
+    return numbered.withColumn(slot, F.col(slot) - 1).drop(at)
