@@ -15,12 +15,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deckspark.llm import decontamination, languages, mixing, near_duplicates, sharding
-from deckspark.llm.common import table
-from deckspark.operators.skew import lookup_join
+from deckspark.llm.common import free_name, join_rows, table
 from deckspark.session import shared_dir
 
 SHARDS = 16
@@ -31,9 +30,10 @@ LEAST_SCORE = 0.1
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents with a language; a null ``lang`` gets the predicted one."""
     model = languages.train(docs)
-    judged = languages.predict(docs, model, lang="_lang", score="_score")
-    kept = judged.filter((F.col("_lang") != languages.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+    said, sure = free_name(docs, "_lang"), free_name(docs, "_score")
+    judged = languages.predict(docs, model, lang=said, score=sure)
+    kept = judged.filter((F.col(said) != languages.UNDETERMINED) & (F.col(sure) >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", said)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,34 +41,33 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"), out="_found")
-    return found.filter(~decontamination.contaminated("_found")).select(*docs.columns)
+    found = free_name(docs, "_found")
+    judged = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"), out=found)
+    return judged.filter(~decontamination.contaminated(found)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes at least half of its words; words of no document count for nothing."""
-    rows = mixing.measured(docs, F.xxhash64("text").alias("_hash"))
+
+    def identity() -> Column:
+        """Rows that agree in it are rows of one document; they are told apart by no column that the mix reads."""
+        rest = [c for c in docs.columns if c not in ("doc_id", "source")]
+        return F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.xxhash64(*rest).alias("h"))
+
+    rows = mixing.measured(docs, identity().alias("_row"))
     targets = mixing.cut(mixing.source_targets(rows))
     taken = mixing.mix(rows, targets).groupBy("id", "epoch").agg(F.sum("words").alias("taken"))
-    copies = (
-        rows.join(taken, "id")
-        .filter(F.col("taken") * 2 >= F.col("size"))
-        .groupBy(F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("_hash").alias("h")).alias("_key"))
-        .agg(F.count("*").alias("_copies"), F.countDistinct("id").alias("_rows"))
-    )
-    marked = docs.withColumn(
-        "_key", F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.xxhash64("text").alias("h"))
-    )
+    mark, number = free_name(docs, "_row"), free_name(docs, "_copies")
+    copies = rows.join(taken, "id").filter(F.col("taken") * 2 >= F.col("size")).groupBy("_row").agg(F.count("*").alias("n"))
     # Repeated rows of one document share its copies; they are as many as the mix takes of them together.
-    same = rows.groupBy(
-        F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("_hash").alias("h")).alias("_key")
-    ).agg(F.count("*").alias("_same"))
-    counts = copies.join(same, "_key").select("_key", "_copies", "_same")
-    found = lookup_join(marked, counts, ["_key"], "inner")
-    repeated = found.filter("_same > 1").dropDuplicates(["_key"]) if not same.filter("_same > 1").isEmpty() else None
-    alone = found.filter("_same = 1")
-    whole = alone if repeated is None else alone.unionByName(repeated)
-    return whole.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    same = rows.groupBy("_row").agg(F.count("*").alias("same"))
+    counts = copies.join(same, "_row").select(F.col("_row").alias(mark), F.struct("n", "same").alias(number))
+    found = join_rows(docs.withColumn(mark, identity()), counts, mark)
+    if not same.filter("same > 1").isEmpty():
+        alone = found.filter(F.col(number)["same"] == 1)
+        found = alone.unionByName(found.filter(F.col(number)["same"] > 1).dropDuplicates([mark]))
+    repeated = F.explode(F.array_repeat(F.lit(1), F.col(number)["n"].cast("int")))
+    return found.withColumn(number, repeated).select(*docs.columns)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
