@@ -3,21 +3,33 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 
 from pyspark.sql import functions as F
 
 from deckspark.functions.formats import BATCH_SIZE
 from deckspark.operators.quality import check_corpus, require_cards
-from deckspark.operators.worklist import deck_worklist, next_cycle, sweep_worklist
+from deckspark.operators.worklist import deck_worklist, next_cycle, sweep_worklist, without_leased
 from deckspark.plans.corpus import BUILDS, Corpus
+from deckspark.plans.handout import Handout
 from deckspark.plans.seed import seed_cards, seed_from_manifest, table_stats
-from deckspark.schemas import CARD_FORMAT_STATUS, CARDS, DECK_CARDS, DECKS, STUB_LOG, SUBMISSION_LOG
+from deckspark.schemas import (
+    CARD_FORMAT_STATUS,
+    CARDS,
+    DECK_CARDS,
+    DECKS,
+    STUB_LOG,
+    SUBMISSION_LOG,
+    SWEEP_STATE,
+    WORK_LOG,
+)
 from deckspark.session import build_session
 from deckspark.sources.cards import BULK_TYPES, land_export
 from deckspark.sources.landings import read_details, read_pages
+from deckspark.sources.keyed import KeyedTable
 from deckspark.sources.snapshots import SnapshotTable
 from deckspark.streaming.discovery import StubSink, start_discovery
-from deckspark.streaming.logs import BatchLog
+from deckspark.streaming.logs import BatchLog, WorkLog
 from deckspark.streaming.submissions import SubmissionSink, start_submissions
 
 
@@ -29,15 +41,20 @@ class Tables:
         key = ("format", "moxfield_id")
         self.cards = SnapshotTable(spark, f"{root}/cards", CARDS)
         self.status = SnapshotTable(spark, f"{root}/card_format_status", CARD_FORMAT_STATUS)
-        self.found = SnapshotTable(spark, f"{root}/found_decks", DECKS, bucket_by=key, buckets=buckets)
+        self.found = KeyedTable(spark, f"{root}/found_decks", DECKS, key, buckets)
+        self.sweeps = KeyedTable(spark, f"{root}/sweeps", SWEEP_STATE, ("sweep_card", "sweep_format"), buckets)
         self.corpus = Corpus(
             BatchLog(spark, f"{root}/stub_log", STUB_LOG),
             BatchLog(spark, f"{root}/submission_log", SUBMISSION_LOG),
-            SnapshotTable(spark, f"{root}/decks", DECKS, ("format",)),
-            SnapshotTable(spark, f"{root}/deck_cards", DECK_CARDS, ("format",)),
+            KeyedTable(spark, f"{root}/decks", DECKS, key, buckets),
+            KeyedTable(spark, f"{root}/deck_cards", DECK_CARDS, key, buckets),
             SnapshotTable(spark, f"{root}/builds", BUILDS),
+            WorkLog(spark, f"{root}/work_log", WORK_LOG),
         )
 
+    def handout(self) -> Handout:
+        return Handout(self.status.read(), self.cards.read(), self.corpus)
+
 
 def next_version(table: SnapshotTable) -> int:
     return (table.latest() or 0) + 1
@@ -65,10 +82,20 @@ def info(tables: Tables, args: argparse.Namespace) -> None:
 
 
 def discover(tables: Tables, args: argparse.Namespace) -> None:
-    sink = StubSink(tables.found, tables.corpus.stub_log, f"{tables.root}/broken_pages", args.merge_every)
+    def finished(sweeps, batch_id):
+        tables.handout().complete(sweeps, "discover", F.current_timestamp(), f"discover/{batch_id}")
+
+    sink = StubSink(
+        tables.found, tables.corpus.stub_log, f"{tables.root}/broken_pages", args.merge_every, tables.sweeps, finished
+    )
     pages = read_pages(tables.spark, args.landing, stream=True, files_per_batch=args.files_per_batch)
-    start_discovery(pages, sink, f"{tables.root}/checkpoints/discover", not args.keep_running).awaitTermination()
-    sink.finish()
+    query = start_discovery(pages, sink, f"{tables.root}/checkpoints/discover", not args.keep_running)
+    try:
+        query.awaitTermination()
+    finally:
+        # What still waits is merged however the run ends.
+        query.stop()
+        sink.finish()
 
 
 def submit(tables: Tables, args: argparse.Namespace) -> None:
@@ -86,14 +113,34 @@ def build(tables: Tables, args: argparse.Namespace) -> None:
 
 
 def sweeps(tables: Tables, args: argparse.Namespace) -> None:
-    now = F.current_timestamp()
-    status = next_cycle(tables.status.read(), tables.corpus.decks.read(), now)
-    sweep_worklist(status, tables.cards.read(), now, args.limit).show(args.limit, truncate=False)
+    now, work = F.current_timestamp(), tables.handout()
+    if args.worker:
+        rows = work.sweeps(now, args.limit, args.worker, args.request or f"{args.worker}/{uuid.uuid4().hex}")
+    else:
+        status = next_cycle(work.units(), tables.corpus.decks.read(), now)
+        rows = sweep_worklist(status, tables.cards.read(), now, args.limit)
+    rows.show(args.limit, truncate=False)
 
 
 def decks(tables: Tables, args: argparse.Namespace) -> None:
-    rows = deck_worklist(tables.corpus.decks.read(), F.current_timestamp(), args.limit)
-    rows.select("format", "moxfield_id", "scraped_at").show(args.limit, truncate=False)
+    now, work = F.current_timestamp(), tables.handout()
+    if args.worker:
+        rows = work.decks(now, args.worker, args.request or f"{args.worker}/{uuid.uuid4().hex}", args.limit)
+    else:
+        rows = deck_worklist(without_leased(tables.corpus.decks.read(), work.log.read(tables.corpus.reached()[2]), now), now, args.limit)
+    rows.select("format", "moxfield_id").show(args.limit, truncate=False)
+
+
+def complete(tables: Tables, args: argparse.Namespace) -> None:
+    done = tables.spark.createDataFrame([(args.card, args.format)], "card_name string, format string")
+    lost = tables.handout().complete(done, args.worker, F.current_timestamp(), args.request or uuid.uuid4().hex)
+    if not lost.isEmpty():
+        raise SystemExit(f"no unit for card {args.card!r} in format {args.format!r}")
+
+
+def vacuum(tables: Tables, args: argparse.Namespace) -> None:
+    for table in (tables.found, tables.sweeps, tables.corpus.decks, tables.corpus.deck_cards):
+        print(f"{table.path}: {len(table.vacuum(args.keep))} folders removed")
 
 
 def check(tables: Tables, args: argparse.Namespace) -> None:
@@ -130,7 +177,18 @@ def parser() -> argparse.ArgumentParser:
     for name, run, limit in (("sweeps", sweeps, 1), ("decks", decks, BATCH_SIZE)):
         job = jobs.add_parser(name, help=f"next {name} to work on")
         job.add_argument("--limit", type=int, default=limit)
+        job.add_argument("--worker", help="lease them to this worker")
+        job.add_argument("--request", help="name of the request; repeated, it gets the same")
         job.set_defaults(run=run)
+    job = jobs.add_parser("complete", help="a sweep is finished")
+    job.add_argument("--card", required=True)
+    job.add_argument("--format", required=True)
+    job.add_argument("--worker", default="hand")
+    job.add_argument("--request")
+    job.set_defaults(run=complete)
+    job = jobs.add_parser("vacuum", help="remove what the last versions do not need")
+    job.add_argument("--keep", type=int, default=2, help="versions to keep")
+    job.set_defaults(run=vacuum)
     jobs.add_parser("check", help="constraint report").set_defaults(run=check)
     return top
 

@@ -53,7 +53,12 @@ def next_sweeps(status: DataFrame, as_of: Column, k: int = 1) -> DataFrame:
 
 def sweep_worklist(status: DataFrame, cards: DataFrame, as_of: Column, k: int = 1) -> DataFrame:
     """``next_sweeps`` with the card's name, the name to search for, and the mode."""
-    return names_of(next_sweeps(status, as_of, k), cards).select(
+    return sweep_units(next_sweeps(status, as_of, k), cards)
+
+
+def sweep_units(units: DataFrame, cards: DataFrame) -> DataFrame:
+    """Units with the card's name, the name to search for, and the mode."""
+    return names_of(units, cards).select(
         "card_id",
         "card_name",
         S.search_name(F.col("card_name")).alias("search_name"),
@@ -146,6 +151,39 @@ def complete_sweeps(status: DataFrame, completions: DataFrame) -> tuple[DataFram
     return marked, completions.join(status.select(*key), key, "left_anti")
 
 
+def apply_work(status: DataFrame, work: DataFrame) -> DataFrame:
+    """Sweep units after what was handed out, completed and reset since ``status`` was written.
+
+    The last claim is the lease, also of a unit that is completed. Completions count as swept until the
+    next reset, and for ever as ``ever_swept``. The log of a unit is combined before it is joined; only the
+    number of the last reset goes to the driver.
+    """
+    key = ["card_id", "format"]
+    reset = work.filter("kind = 'reset'").agg(F.max("batch")).first()[0]
+    claim, complete = F.col("kind") == "claim", F.col("kind") == "complete"
+    events = work.filter("card_id IS NOT NULL").groupBy(*key).agg(
+        F.max_by(F.when(claim, F.struct("at", "holder")), F.when(claim, F.col("batch"))).alias("_lease"),
+        F.max(F.when(complete, F.col("batch"))).alias("_completed"),
+    )
+    before = F.col("swept") if reset is None else F.lit(False)
+    now = F.col("_completed").isNotNull() if reset is None else F.coalesce(F.col("_completed") > reset, F.lit(False))
+    columns = {c: F.col(c) for c in status.columns} | {
+        "swept": before | now,
+        "ever_swept": F.col("ever_swept") | F.col("_completed").isNotNull(),
+        "claimed_at": F.coalesce(F.col("_lease")["at"], "claimed_at"),
+        "claimed_by": F.when(F.col("_lease").isNotNull(), F.col("_lease")["holder"]).otherwise(F.col("claimed_by")),
+    }
+    return status.join(events, key, "left").select(*[c.alias(name) for name, c in columns.items()])
+
+
+def without_leased(decks: DataFrame, work: DataFrame, as_of: Column) -> DataFrame:
+    """Decks that no claim of the log holds at ``as_of``; the log is that since the decks were built."""
+    key = ["format", "moxfield_id"]
+    claims = work.filter("kind = 'claim' AND moxfield_id IS NOT NULL").groupBy(*key).agg(F.max("at").alias("_at"))
+    held = claims.filter(~lease_expired(as_of, at="_at"))
+    return decks.join(held, key, "left_anti")
+
+
 def cycle_is_over(status: DataFrame, decks: DataFrame, as_of: Column) -> bool:
     """Nothing left to sweep and no deck waiting: two probes that stop at the first row."""
     if not status.filter(sweep_available(as_of)).isEmpty():

@@ -62,9 +62,19 @@ SUBMISSION_LOG = (
     "format string, moxfield_id string, seq bigint, fetched_at timestamp, error boolean, "
     "card_ids array<int>, commander_ids array<int>, "
     "bridge array<struct<card_id: int, board: string, pos: int, quantity: int>>, "
-    "unresolved array<string>, n_rows int, stub_batches bigint, batch bigint"
+    "unresolved array<string>, n_rows int, doc bigint, stub_batches bigint, batch bigint"
 )
 
+# What was handed out and finished: ``claim`` and ``complete`` of sweeps, ``claim`` of decks, ``reset`` of the cycle. The
+# batch is the fence of a hand-out; the last two columns say how far the other logs were at that time.
+WORK_LOG = (
+    "kind string, card_id int, format string, moxfield_id string, holder string, at timestamp, request string, "
+    "stub_batches bigint, submission_batches bigint, batch bigint"
+)
+
+# Where the sweeps stand of which pages have been read: the present run and the page at which it ended, if it has.
+SWEEP_STATE = "sweep_card string, sweep_format string, run bigint, last_page int"
+
 UNKNOWN_CARDS = "ts timestamp, format string, moxfield_id string, card_name string"
 
 # A landed search page: the request it answers, then the envelope as received.

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from deckspark.__main__ import main
+from deckspark.__main__ import Tables, main
 from deckspark.operators.stubs import fold_stubs, upsert_stubs
 from deckspark.schemas import DECKS, STUB_LOG
 from deckspark.sources.snapshots import SnapshotTable
@@ -88,7 +88,8 @@ def test_jobs_end_to_end(spark, tmp_path, capsys):
     main([*root, "check"])
     report = [line.split("|")[1:3] for line in capsys.readouterr().out.splitlines() if line.startswith("|")][1:]
     assert len(report) == 15 and all(v.strip() == "0" for _, v in report)
-    rows = spark.read.parquet(str(tmp_path / "corpus" / "deck_cards" / "v=1")).collect()
+    corpus = Tables(spark, str(tmp_path / "corpus"), 4).corpus
+    rows = corpus.deck_cards.read().collect()
     assert [(r["moxfield_id"], r["card_id"], r["quantity"]) for r in rows] == [("a", 1, 4)]
-    deck = spark.read.parquet(str(tmp_path / "corpus" / "decks" / "v=1")).filter("moxfield_id = 'c'").first()
+    deck = corpus.decks.read().filter("moxfield_id = 'c'").first()
     assert (deck["card_ids"], deck["commander_ids"], deck["status"]) == ([1], [1], "done")
