@@ -207,6 +207,15 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
+LIFECYCLE_EPOCHS = LIFECYCLE.replace(
+    "CAST(NULL AS TIMESTAMP) AS cards_fetched_at FROM log", "CAST(NULL AS TIMESTAMP) AS cards_fetched_at, 0 AS epoch FROM log"
+).replace(
+    "ELSE cards_fetched_at END\n", """ELSE cards_fetched_at END,
+           CASE WHEN kind = 'discover' AND (status IS NULL OR (stamp IS NOT NULL AND (updated_at IS NULL OR stamp > updated_at)))
+                THEN epoch + 1 ELSE epoch END
+"""
+).replace("SELECT user_id, tens, status, updated_at, created_at, cards_fetched_at\n", "SELECT user_id, tens, status, updated_at, created_at, cards_fetched_at, epoch\n")
+
 ORACLE_SQL = {
     "card_usage": _with(VOCABULARY, DOC_WORDS) + """
         SELECT format, card_name, count(*) AS entries, CAST(sum(quantity) AS BIGINT) AS copies, CAST(id AS INTEGER) AS card_id
@@ -288,11 +297,11 @@ ORACLE_SQL = {
         SELECT CASE lang WHEN 'en' THEN 'commander' ELSE 'highlanderCanadian' END AS format, CAST(d.doc_id AS VARCHAR) AS moxfield_id,
                CAST(coalesce(n_rows, 0) AS INTEGER) AS n_rows, coalesce(card_ids, '') AS card_ids,
                CASE WHEN lang = 'en' THEN coalesce(commander_ids, '') ELSE '' END AS commander_ids, md5(coalesce(lost, '')) AS unresolved_md5
-        FROM documents d LEFT JOIN packed p ON d.doc_id = p.doc_id WHERE lang IN ('en', 'fr') AND n_chars >= 300""",
+        FROM documents d LEFT JOIN packed p ON d.doc_id = p.doc_id WHERE lang IN ('en', 'fr')""",
     "bridge_of_documents": _with(VOCABULARY, DOC_WORDS) + """
         SELECT format, CAST(doc_id AS VARCHAR) AS moxfield_id, CAST(id AS INTEGER) AS card_id, board,
                CAST(arg_max(quantity, place) AS INTEGER) AS quantity
-        FROM deck_words JOIN vocabulary ON w = card_name WHERE format IN ('modern', 'pauper') AND n_chars >= 300 GROUP BY ALL""",
+        FROM deck_words JOIN vocabulary ON w = card_name WHERE format IN ('modern', 'pauper') GROUP BY ALL""",
     "bridge_replace": """
         WITH ranked AS (
             SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_linestatus, l_shipdate >= TIMESTAMP '1998-01-01'
@@ -348,8 +357,31 @@ ORACLE_SQL = {
         SELECT doc_id AS card_id, CASE WHEN quality = 1 THEN 'en' ELSE 'fr' END AS format FROM labels l
         WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id
                           AND d.lang = CASE WHEN quality = 1 THEN 'en' ELSE 'fr' END)""",
-    "cycle_reset": _with(UNITS) + """
-        SELECT format, CAST(0 AS BIGINT) AS swept, count(*) FILTER (ever_swept) AS ever_swept FROM units GROUP BY format""",
+    "cycle_reset": _with(UNITS) + """,
+        placed AS (
+            SELECT *, claimed_at IS NULL AS open, row_number() OVER (PARTITION BY claimed_at IS NULL ORDER BY ever_swept, card_id) AS nth FROM units),
+        again AS (
+            SELECT *, row_number() OVER (PARTITION BY open AND nth > 50 ORDER BY card_id) AS next FROM placed)
+        SELECT 'leased' AS phase, format, count(*) FILTER (swept) AS swept, count(*) FILTER (ever_swept) AS ever_swept,
+               count(*) FILTER (open AND nth <= 50) AS leased FROM placed GROUP BY format
+        UNION ALL
+        SELECT 'completed', format, count(*) FILTER (swept OR open), count(*) FILTER (ever_swept OR open),
+               count(*) FILTER (open AND nth <= 50) FROM placed GROUP BY format
+        UNION ALL
+        SELECT 'turned', format, 0, count(*) FILTER (ever_swept OR open), count(*) FILTER (open AND (nth <= 50 OR next <= 50)) FROM again GROUP BY format""",
+    "stored_claims": _with(DECKS.format(as_of="2024-01-15")) + """,
+        placed AS (
+            SELECT d.*, o_custkey, CASE WHEN w.moxfield_id IS NOT NULL THEN row_number() OVER (
+                PARTITION BY w.moxfield_id IS NOT NULL ORDER BY d.scraped_at, d.moxfield_id) END AS nth
+            FROM decks d JOIN orders ON CAST(o_orderkey AS VARCHAR) = d.moxfield_id LEFT JOIN (
+                SELECT moxfield_id FROM waiting WHERE prio = (SELECT min(prio) FROM waiting)) w ON d.moxfield_id = w.moxfield_id)
+        SELECT format, moxfield_id,
+               CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'P' OR nth <= 100 THEN 'claimed' ELSE 'discovered' END AS status,
+               CASE WHEN nth <= 50 THEN 'third' WHEN nth <= 100 THEN 'second' WHEN o_orderstatus = 'P' THEN 'c' || o_custkey END AS claimed_by,
+               CASE WHEN nth <= 50 THEN TIMESTAMP '2024-01-15 00:31:00' WHEN nth <= 100 THEN TIMESTAMP '2024-01-15 00:10:00'
+                    WHEN o_orderstatus = 'P' THEN scraped_at END AS claimed_at
+        FROM placed""",
+    "stream_lifecycle": LIFECYCLE_EPOCHS,
     "lifecycle_state": LIFECYCLE,
     "constraint_report": """
         SELECT 'orders key' AS "check", count(*) AS violations FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)
@@ -385,15 +417,30 @@ ORACLE_SQL = {
             FROM deck_words JOIN vocabulary ON w = card_name GROUP BY doc_id),
         d AS (
             SELECT CASE lang WHEN 'en' THEN 'commander' WHEN 'fr' THEN 'highlanderCanadian' WHEN 'de' THEN 'modern' ELSE 'pauper' END AS format,
-                   doc_id, n_chars >= 300 AS ok FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
-        SELECT format, CAST(d.doc_id AS VARCHAR) AS moxfield_id, CASE WHEN ok THEN 'done' ELSE 'error' END AS status,
+                   doc_id, n_chars >= 300 AS ok, doc_id IN (SELECT doc_id FROM labels) AS changed FROM documents)
+        SELECT format, CAST(d.doc_id AS VARCHAR) AS moxfield_id, CASE WHEN changed THEN 'discovered' WHEN ok THEN 'done' ELSE 'error' END AS status,
                CASE WHEN ok AND format IN ('commander', 'highlanderCanadian') THEN coalesce(n_cards, 0) END AS n_cards,
                CASE WHEN ok AND format IN ('modern', 'pauper') THEN coalesce(n_rows, 0) ELSE 0 END AS n_rows,
-               CASE WHEN ok AND format = 'commander' THEN coalesce(n_commanders, 0) END AS n_commanders
+               CASE WHEN ok AND format = 'commander' THEN coalesce(n_commanders, 0) END AS n_commanders,
+               CAST(CASE WHEN NOT ok THEN 0 WHEN format IN ('commander', 'highlanderCanadian') THEN coalesce(n_cards, 0) ELSE coalesce(n_rows, 0) END AS INTEGER) AS written, NOT ok AS errored
         FROM d LEFT JOIN cards ON d.doc_id = cards.doc_id""",
     "stream_upsert": """
-        SELECT CAST(user_id AS VARCHAR) AS moxfield_id, arg_max(event_type, event_id) AS name, arg_max(props, event_id) AS author,
-               'discovered' AS status, CAST(trunc(arg_min(value, event_id) * 100) AS BIGINT) AS created_s,
-               CASE WHEN arg_max(event_type, event_id) <> 'error' THEN CAST(trunc(arg_max(value, event_id) * 100) AS BIGINT) END AS updated_s
-        FROM events GROUP BY user_id""",
+        WITH fetched AS (
+            SELECT o_custkey || '-' || (o_orderkey % 100) AS moxfield_id, CAST(trunc(max(o_totalprice) / 5000 * 100) AS BIGINT) AS stamp
+            FROM orders GROUP BY ALL),
+        found AS (
+            SELECT user_id || '-' || json_extract_string(props, '$.k') AS moxfield_id, event_id, event_type, props,
+                   CAST(trunc(value * 100) AS BIGINT) AS created, CASE WHEN event_type <> 'error' THEN CAST(trunc(value * 100) AS BIGINT) END AS stamp
+            FROM events),
+        stepped AS (
+            SELECT f.*, o.stamp AS stored, o.moxfield_id IS NOT NULL AS known, row_number() OVER w AS nth,
+                   CASE WHEN row_number() OVER w = 1 THEN o.stamp ELSE lag(f.stamp) OVER w END AS previous
+            FROM found f LEFT JOIN fetched o ON f.moxfield_id = o.moxfield_id WINDOW w AS (PARTITION BY f.moxfield_id ORDER BY event_id))
+        SELECT moxfield_id, arg_max(event_type, event_id) AS name, arg_max(props, event_id) AS author,
+               CASE WHEN bool_and(known) AND NOT bool_or(stamp IS NOT NULL AND (previous IS NULL OR stamp > previous)) THEN 'done' ELSE 'discovered' END AS status,
+               coalesce(any_value(stored), arg_min(created, event_id)) AS created_s,
+               CASE WHEN arg_max(event_type, event_id) <> 'error' THEN arg_max(created, event_id) END AS updated_s
+        FROM stepped GROUP BY moxfield_id
+        UNION ALL
+        SELECT moxfield_id, NULL, NULL, 'done', stamp, stamp FROM fetched f WHERE NOT EXISTS (SELECT 1 FROM found WHERE found.moxfield_id = f.moxfield_id)""",
 }

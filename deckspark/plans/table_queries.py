@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from deckspark.functions import scalars as S
 from deckspark.operators import cards as C
@@ -20,16 +21,19 @@ from deckspark.operators import lifecycle, paging, quality, stats, stubs, submis
 from deckspark.operators.ordered import first_per_key, global_row_number
 from deckspark.operators.skew import spread
 from deckspark.plans.corpus import BUILDS, Corpus
+from deckspark.plans.handout import Handout
 from deckspark.plans.seed import seed_cards
-from deckspark.schemas import CARD_FORMAT_STATUS, CARDS, DECK_CARDS, DECKS, STUB_LOG, SUBMISSION_LOG
+from deckspark.schemas import CARD_FORMAT_STATUS, CARDS, DECK_CARDS, DECKS, STUB_LOG, SUBMISSION_LOG, WORK_LOG
 from deckspark.session import shared_dir
 from deckspark.sources.cards import parse_export
 from deckspark.sources.files import is_committed
+from deckspark.sources.keyed import KeyedTable
 from deckspark.sources.landings import read_details, read_pages
 from deckspark.sources.snapshots import SnapshotTable
 from deckspark.sources.unknown import append_unknown, read_unknown
 from deckspark.streaming.discovery import StubSink, start_stubs
-from deckspark.streaming.logs import BatchLog
+from deckspark.streaming.lifecycle import STATE, keep_states, start_states
+from deckspark.streaming.logs import BatchLog, WorkLog
 from deckspark.streaming.submissions import SubmissionSink, start_submissions
 
 
@@ -105,8 +109,8 @@ def landing_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{source}/{name}"
 
 
-def deck_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as deck documents, landed as JSON and read like any landing."""
+def land_documents(spark: SparkSession, sf_dir: str, name: str, failed: Column) -> str:
+    """``documents`` as deck documents, landed as JSON; ``failed`` ones stand for reports that fetching failed."""
     docs = texts(spark, sf_dir, "documents", "doc_id", "lang", "n_chars", "text")
     split = docs.withColumn("words", F.expr("transform(split(text, ' '), (w, i) -> struct(i, w))"))
 
@@ -123,12 +127,17 @@ def deck_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.expr(DECK_FORMAT).alias("format"),
                 F.col("doc_id").cast("string").alias("moxfield_id"),
                 F.col("doc_id").alias("seq"),
-                (F.col("n_chars") < 300).alias("error"),
+                failed.alias("error"),
                 *[board(b) for b in ("sideboard", "mainboard", "commanders")],
             )
         ).alias("json")
     )
-    return read_details(spark, landed(spark, sf_dir, "details", rendered))
+    return landed(spark, sf_dir, name, rendered)
+
+
+def deck_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` as fetched deck documents, read like any landing."""
+    return read_details(spark, land_documents(spark, sf_dir, "details", F.lit(False)))
 
 
 def card_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -612,15 +621,88 @@ def lost_completions(spark, sf_dir):
     return lost
 
 
-def cycle_reset(spark, sf_dir):
-    """No order is pending after the last fetch: the next cycle starts."""
-    as_of = F.expr("timestamp_ntz'1990-01-01 00:00:00'")
-    swept = units(spark, sf_dir).withColumn("swept", F.lit(True))
-    decks = order_decks(spark, sf_dir).withColumn(
-        "status", F.when(F.col("status") == "done", "done").otherwise("error")
+def order_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """``orders`` as decks found, some fetched (F) and some leased long ago (P), built from their logs."""
+    root = scratch(spark, "orders")
+    orders = order_decks(spark, sf_dir).withColumn("seq", F.col("moxfield_id").cast("long"))
+    stub_log, submission_log = BatchLog(spark, f"{root}/stubs", STUB_LOG), BatchLog(spark, f"{root}/submissions", SUBMISSION_LOG)
+    work_log = WorkLog(spark, f"{root}/work", WORK_LOG)
+    no = F.lit(None)
+    stub_log.put(
+        orders.select(
+            *stubs.KEY, F.col("scraped_at").cast("timestamp").alias("scraped_at"), "seq", F.lit(0).alias("pos"), F.lit(1).alias("page"),
+            F.lit(0).alias("color_mask"), *[no.cast("string").alias(c) for c in ("name", "author", "sweep_card", "sweep_format")],
+            *[no.cast("timestamp").alias(c) for c in ("created_at_utc", "updated_at_utc")],
+        ),
+        0,
+    )
+    submission_log.put(fetched_orders(orders.filter("status = 'done'")), 0)
+    work_log.put(
+        orders.filter("status = 'claimed'").select(
+            F.lit("claim").alias("kind"), no.cast("int").alias("card_id"), *stubs.KEY, F.col("claimed_by").alias("holder"),
+            F.col("claimed_at").cast("timestamp").alias("at"), F.lit("long ago").alias("request"),
+            F.lit(1).cast("long").alias("stub_batches"), F.lit(1).cast("long").alias("submission_batches"),
+        ),
+        0,
+    )
+    corpus = Corpus(
+        stub_log, submission_log, KeyedTable(spark, f"{root}/decks", DECKS, tuple(stubs.KEY), 16),
+        KeyedTable(spark, f"{root}/deck_cards", DECK_CARDS, tuple(stubs.KEY), 16), SnapshotTable(spark, f"{root}/builds", BUILDS), work_log,
+    )
+    corpus.build()
+    return corpus
+
+
+def fetched_orders(orders: DataFrame) -> DataFrame:
+    """Submissions without cards for all the given decks."""
+    types = {f.name: f.dataType for f in StructType.fromDDL(SUBMISSION_LOG).fields if f.name != "batch"}
+    known = {"error": F.lit(False), "n_rows": F.lit(0), "doc": F.lit(0), "stub_batches": F.lit(1), **{c: F.col(c) for c in (*stubs.KEY, "seq")}}
+    return orders.select(*[known.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+
+
+def minutes_later(minutes: int) -> Column:
+    return F.expr(AS_OF).cast("timestamp") + F.make_dt_interval(mins=F.lit(minutes))
+
+
+def stored_claims(spark, sf_dir):
+    """Decks leased three times with builds in between: the first leases run out and are given out again."""
+    corpus = order_corpus(spark, sf_dir)
+    work = Handout(units(spark, sf_dir), spark.createDataFrame([], "id int, card_name string"), corpus)
+    work.decks(minutes_later(0), "first", "a", 50)
+    work.decks(minutes_later(5), "nobody", "a", 50)  # a repeated request
+    work.decks(minutes_later(10), "second", "b", 50)
+    corpus.build()
+    work.decks(minutes_later(31), "third", "c", 50)
+    corpus.build()
+    return corpus.decks.read().select(
+        *stubs.KEY, "status", "claimed_by", F.col("claimed_at").cast("timestamp_ntz").alias("claimed_at")
     )
-    after = worklist.next_cycle(swept, decks, as_of)
-    return after.groupBy("format").agg(F.count_if("swept").alias("swept"), F.count_if("ever_swept").alias("ever_swept"))
+
+
+def cycle_reset(spark, sf_dir):
+    """Sweep units as they are leased, then completed while decks wait, then after the turn of the cycle."""
+    corpus = order_corpus(spark, sf_dir)
+    status = units(spark, sf_dir).withColumns({"card_id": F.col("card_id").cast("int"), "claimed_at": F.col("claimed_at").cast("timestamp")})
+    cards = status.select(F.col("card_id").alias("id"), F.col("card_id").cast("string").alias("card_name"))
+    work, early = Handout(status, cards, corpus), F.expr("timestamp_ntz'1990-01-01 00:00:00'").cast("timestamp")
+
+    def seen(phase: str) -> DataFrame:
+        return work.units().groupBy("format").agg(
+            F.count_if("swept").alias("swept"), F.count_if("ever_swept").alias("ever_swept"),
+            F.count_if(F.col("claimed_by") == "worker").alias("leased"),
+        ).select(F.lit(phase).alias("phase"), "*").checkpoint()
+
+    work.sweeps(early, 50, "worker", "a")
+    phases = seen("leased")
+    open_units = status.filter("NOT swept AND claimed_at IS NULL").select(F.col("card_id").cast("string").alias("card_name"), "format")
+    work.complete(open_units, "worker", early, "done")
+    work.sweeps(early, 50, "worker", "b")  # nothing is left, but decks are waiting
+    phases = phases.unionByName(seen("completed"))
+    waiting = order_decks(spark, sf_dir).withColumn("seq", F.col("moxfield_id").cast("long")).filter("status <> 'done'")
+    corpus.submission_log.put(fetched_orders(waiting), 1)
+    corpus.build()
+    work.sweeps(early, 50, "worker", "c")
+    return phases.unionByName(seen("turned"))
 
 
 # --- life cycle, quality, streams ------------------------------------------------------------
@@ -661,11 +743,11 @@ def cascade_delete(spark, sf_dir):
 
 
 def event_stubs(events: DataFrame) -> DataFrame:
-    """``events`` as stubs of their user's deck."""
-    stamp = F.timestamp_micros((F.col("value") * 100).cast("long") * 1000000)
+    """``events`` as stubs of their user's decks, told apart by ``k``."""
+    stamp = order_stamp(F.col("value"))
     empty = F.lit(None).cast("string")
     return events.select(
-        F.col("user_id").cast("string").alias("moxfield_id"), F.col("event_type").alias("name"),
+        F.concat_ws("-", "user_id", F.get_json_object("props", "$.k")).alias("moxfield_id"), F.col("event_type").alias("name"),
         F.lit("modern").alias("format"), F.col("props").alias("author"), F.lit(0).alias("color_mask"),
         stamp.alias("created_at_utc"), F.when(F.col("event_type") != "error", stamp).alias("updated_at_utc"),
         F.timestamp_micros("event_id").alias("scraped_at"),
@@ -674,13 +756,35 @@ def event_stubs(events: DataFrame) -> DataFrame:
     )
 
 
+def in_parts(df: DataFrame, key: str, parts: int, root: str) -> str:
+    """The rows as files that land one after the other, by ranges of a whole-number key; all of them are landed."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    width = 1 if low is None else (high - low) // parts + 1
+    for k in range(parts):
+        part = df.filter(F.expr(f"({key} - {low or 0}) DIV {width} = {k}"))
+        part.coalesce(1).write.mode("overwrite").parquet(f"{root}/part={k}")
+    return f"{root}/part=*"
+
+
+def order_stamp(value: Column) -> Column:
+    return F.timestamp_micros((value * 100).cast("long") * 1000000)
+
+
 def stream_upsert(spark, sf_dir):
-    """``events`` streamed as stubs into the deck table, micro-batch by micro-batch."""
+    """``events`` streamed in four micro-batches as stubs into decks that were fetched before (those of ``orders``)."""
     root = scratch(spark, "stream")
-    schema = table(spark, sf_dir, "events").schema
-    # The pattern makes a single file and a folder of files work alike.
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events.parque[t]")
-    decks = SnapshotTable(spark, f"{root}/decks", DECKS, ("format",))
+    events = table(spark, sf_dir, "events")
+    folder = in_parts(events.select("event_id", "user_id", "event_type", "value", "props"), "event_id", 4, f"{root}/in")
+    decks = KeyedTable(spark, f"{root}/decks", DECKS, tuple(stubs.KEY), 16)
+    names = StructType.fromDDL(DECKS).fields
+    fetched = table(spark, sf_dir, "orders").groupBy(
+        F.concat_ws("-", "o_custkey", (F.col("o_orderkey") % 100).cast("string")).alias("moxfield_id")
+    ).agg(order_stamp(F.max("o_totalprice") / 5000).alias("stamp"))
+    known = {"moxfield_id": F.col("moxfield_id"), "format": F.lit("modern"), "status": F.lit("done"),
+             "created_at_utc": F.col("stamp"), "updated_at_utc": F.col("stamp")}
+    decks.write(fetched.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in names]), 0)
+    schema = spark.read.parquet(folder).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     sink = StubSink(decks, BatchLog(spark, f"{root}/log", STUB_LOG), f"{root}/broken")
     start_stubs(event_stubs(stream), sink, f"{root}/checkpoint").awaitTermination()
     return decks.read().select(
@@ -689,6 +793,23 @@ def stream_upsert(spark, sf_dir):
     )
 
 
+def stream_lifecycle(spark, sf_dir):
+    """``events`` in four micro-batches through the stateful life cycle; states are those of the whole log."""
+    root = scratch(spark, "states")
+    log = event_log(spark, sf_dir).filter("kind IS NOT NULL").select(
+        "user_id", "tens", "seq", "kind", "updated_at", "created_at",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), F.concat(F.lit("w"), "user_id").alias("holder"),
+    )
+    folder = in_parts(log, "seq", 4, f"{root}/in")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    states = KeyedTable(spark, f"{root}/states", f"user_id bigint, tens int, {STATE}", ("user_id", "tens"), 16)
+    start_states(keep_states(stream, ["user_id", "tens"]), states, f"{root}/checkpoint").awaitTermination()
+    return states.read().select(
+        "user_id", "tens", "status", "updated_at", "created_at", "epoch",
+        F.timestamp_micros("cards_fetched_us").cast("timestamp_ntz").alias("cards_fetched_at"),
+    )
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors can reach."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -722,37 +843,44 @@ def unknown_log(spark, sf_dir):
 
 
 def stream_corpus(spark, sf_dir):
-    """Labelled ``documents`` as found decks, all ``documents`` streamed as their submissions."""
+    """All ``documents`` as found decks and, in several micro-batches, as their submissions; labelled ones change later."""
     root = scratch(spark, "corpus")
     cards = SnapshotTable(spark, f"{root}/cards", "id int, card_name string")
     cards.write(vocabulary(spark, sf_dir), 1)
-    formats = table(spark, sf_dir, "documents").select("doc_id", F.expr(DECK_FORMAT).alias("format"))
-    found = table(spark, sf_dir, "labels").join(formats, "doc_id").select(
-        "format", F.col("doc_id").cast("string").alias("moxfield_id"), (F.col("doc_id") - 1).alias("seq"), F.lit(0).alias("pos"),
-        F.current_timestamp().alias("scraped_at"), F.lit(0).alias("color_mask"), F.lit(1).alias("page"),
-        *[F.lit(None).cast(t).alias(c) for c, t in (
-            ("name", "string"), ("author", "string"), ("created_at_utc", "timestamp"), ("updated_at_utc", "timestamp"),
-            ("sweep_card", "string"), ("sweep_format", "string"))],
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(DECK_FORMAT).alias("format"))
+
+    def found(rows: DataFrame, stamp: Column) -> DataFrame:
+        return rows.select(
+            "format", F.col("doc_id").cast("string").alias("moxfield_id"), (F.col("doc_id") - 1).alias("seq"), F.lit(0).alias("pos"),
+            F.current_timestamp().alias("scraped_at"), F.lit(0).alias("color_mask"), F.lit(1).alias("page"), stamp.alias("updated_at_utc"),
+            *[F.lit(None).cast(t).alias(c) for c, t in (
+                ("name", "string"), ("author", "string"), ("created_at_utc", "timestamp"), ("sweep_card", "string"), ("sweep_format", "string"))],
+        )
+
     stub_log = BatchLog(spark, f"{root}/stubs", STUB_LOG)
-    stub_log.put(found, 0)
+    stub_log.put(found(docs, F.lit(None).cast("timestamp")), 0)
     corpus = Corpus(
         stub_log,
         BatchLog(spark, f"{root}/submissions", SUBMISSION_LOG),
-        SnapshotTable(spark, f"{root}/decks", DECKS, ("format",)),
-        SnapshotTable(spark, f"{root}/deck_cards", DECK_CARDS, ("format",)),
+        KeyedTable(spark, f"{root}/decks", DECKS, tuple(stubs.KEY), 16),
+        KeyedTable(spark, f"{root}/deck_cards", DECK_CARDS, tuple(stubs.KEY), 16),
         SnapshotTable(spark, f"{root}/builds", BUILDS),
     )
     sink = SubmissionSink(cards, corpus, f"{root}/outcomes", f"{root}/unknown", f"{root}/broken")
-    deck_documents(spark, sf_dir)  # lands the documents
-    stream = read_details(spark, landing_folder(spark, sf_dir, "details"), stream=True, files_per_batch=1000)
+    folder = land_documents(spark, sf_dir, "reports", F.col("n_chars") < 300)
+    files = len(spark.read.text(folder).inputFiles())
+    stream = read_details(spark, folder, stream=True, files_per_batch=max(1, -(-files // 3)))
     start_submissions(stream, sink, f"{root}/checkpoint").awaitTermination()
     corpus.build()
+    changed = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    stub_log.put(found(changed, F.timestamp_seconds(F.lit(1))), 1)
+    corpus.build()
     decks, rows = corpus.decks.read(), corpus.deck_cards.read()
     per_deck = rows.groupBy(*stubs.KEY).agg(F.count("*").alias("n_rows"))
-    return decks.join(per_deck, stubs.KEY, "left").select(
+    told = spark.read.parquet(f"{root}/outcomes").select(*stubs.KEY, "written", "errored")
+    return decks.join(per_deck, stubs.KEY, "left").join(told, stubs.KEY, "left").select(
         *stubs.KEY, "status", F.array_size("card_ids").alias("n_cards"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-        F.array_size(F.array_distinct("commander_ids")).alias("n_commanders"),
+        F.array_size(F.array_distinct("commander_ids")).alias("n_commanders"), "written", "errored",
     )
 
 
@@ -766,6 +894,6 @@ QUERIES = {
         bridge_replace, outcome_table, outcome_counts, settled_decks, attempt_verdict, sweep_worklist,
         deck_worklist, batch_assignment, lease_stamps, stale_leases, queue_drained, sweep_completion,
         lost_completions, cycle_reset, lifecycle_state, constraint_report, cascade_delete, stream_upsert,
-        seeded_status, unknown_log, stream_corpus,
+        seeded_status, unknown_log, stream_corpus, stored_claims, stream_lifecycle,
     )
 }
