@@ -14,6 +14,7 @@ from deckspark.plans.corpus import BUILDS, Corpus
 from deckspark.plans.handout import Handout
 from deckspark.plans.seed import seed_cards, seed_from_manifest, table_stats
 from deckspark.schemas import (
+    ATTEMPT_STATE,
     CARD_FORMAT_STATUS,
     CARDS,
     DECK_CARDS,
@@ -42,6 +43,7 @@ class Tables:
         self.cards = SnapshotTable(spark, f"{root}/cards", CARDS)
         self.status = SnapshotTable(spark, f"{root}/card_format_status", CARD_FORMAT_STATUS)
         self.found = KeyedTable(spark, f"{root}/found_decks", DECKS, key, buckets)
+        self.attempts = KeyedTable(spark, f"{root}/attempts", ATTEMPT_STATE, key, buckets)
         self.sweeps = KeyedTable(spark, f"{root}/sweeps", SWEEP_STATE, ("sweep_card", "sweep_format"), buckets)
         self.corpus = Corpus(
             BatchLog(spark, f"{root}/stub_log", STUB_LOG),
@@ -102,7 +104,7 @@ def submit(tables: Tables, args: argparse.Namespace) -> None:
     require_cards(tables.cards.read())
     sink = SubmissionSink(
         tables.cards, tables.corpus, f"{tables.root}/outcomes", f"{tables.root}/unknown_cards",
-        f"{tables.root}/broken_documents",
+        f"{tables.root}/broken_documents", tables.attempts if args.attempts else None, f"{tables.root}/unknown_cards_text",
     )
     details = read_details(tables.spark, args.landing, stream=True, files_per_batch=args.files_per_batch)
     start_submissions(details, sink, f"{tables.root}/checkpoints/submit", not args.keep_running).awaitTermination()
@@ -172,6 +174,8 @@ def parser() -> argparse.ArgumentParser:
         job.add_argument("--keep-running", action="store_true")
         if run is discover:
             job.add_argument("--merge-every", type=int, default=1, help="micro-batches per merge")
+        else:
+            job.add_argument("--attempts", action="store_true", help="errors are single attempts; three in a row make one")
         job.set_defaults(run=run)
     jobs.add_parser("build", help="build the deck tables from the logs").set_defaults(run=build)
     for name, run, limit in (("sweeps", sweeps, 1), ("decks", decks, BATCH_SIZE)):

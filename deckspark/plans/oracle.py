@@ -382,6 +382,15 @@ ORACLE_SQL = {
                     WHEN o_orderstatus = 'P' THEN scraped_at END AS claimed_at
         FROM placed""",
     "stream_lifecycle": LIFECYCLE_EPOCHS,
+    "attempt_stream": """
+        WITH a AS (
+            SELECT user_id, CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) // 10 AS INTEGER) AS tens, event_id, event_type = 'purchase' AS ok
+            FROM events WHERE event_type IN ('error', 'purchase')),
+        runs AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY user_id, tens ORDER BY event_id) AS run FROM a),
+        per_run AS (SELECT user_id, tens, run, count(*) FILTER (NOT ok) AS fails, count(*) FILTER (ok) AS wins FROM runs GROUP BY ALL)
+        SELECT user_id, tens, CAST(sum(wins) AS BIGINT) AS ok, CAST(sum(fails // 3) AS BIGINT) AS errors,
+               CAST(arg_max(fails, run) % 3 AS INTEGER) AS failures
+        FROM per_run GROUP BY user_id, tens""",
     "lifecycle_state": LIFECYCLE,
     "constraint_report": """
         SELECT 'orders key' AS "check", count(*) AS violations FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)

@@ -555,6 +555,31 @@ def attempt_verdict(spark, sf_dir):
     return submissions.fetch_verdicts(attempts, ["user_id", "tens"])
 
 
+def attempt_stream(spark, sf_dir):
+    """Failed and successful fetches in four batches: reports per deck, and the failures that still wait."""
+    key = ["user_id", "tens"]
+    attempts = table(spark, sf_dir, "events").filter("event_type IN ('error', 'purchase')").select(
+        "user_id", F.floor(F.get_json_object("props", "$.k").cast("int") / 10).cast("int").alias("tens"),
+        F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("error"),
+    )
+    root = scratch(spark, "attempts")
+    in_parts(attempts, "seq", 4, f"{root}/in")
+    counts = KeyedTable(spark, f"{root}/counts", "user_id bigint, tens int, failures int", tuple(key), 16)
+    for part in range(4):
+        batch = spark.read.parquet(f"{root}/in/part={part}")
+        touched = counts.touched(batch)
+        state = counts.read(buckets=touched)
+        done = submissions.attempt_reports(batch, state, key, chunk_bits=10)
+        done.reports.write.parquet(f"{root}/reports/part={part}")
+        counts.write(state.join(done.state, key, "left_anti").unionByName(done.state), part + 1, buckets=touched)
+    reports = spark.read.parquet(f"{root}/reports").groupBy(*key).agg(
+        F.count_if(~F.col("error")).alias("ok"), F.count_if("error").alias("errors")
+    )
+    return counts.read().join(reports, key, "left").select(
+        *key, F.coalesce("ok", F.lit(0)).alias("ok"), F.coalesce("errors", F.lit(0)).alias("errors"), "failures"
+    )
+
+
 # --- work lists ------------------------------------------------------------------------------
 
 
@@ -894,6 +919,6 @@ QUERIES = {
         bridge_replace, outcome_table, outcome_counts, settled_decks, attempt_verdict, sweep_worklist,
         deck_worklist, batch_assignment, lease_stamps, stale_leases, queue_drained, sweep_completion,
         lost_completions, cycle_reset, lifecycle_state, constraint_report, cascade_delete, stream_upsert,
-        seeded_status, unknown_log, stream_corpus, stored_claims, stream_lifecycle,
+        seeded_status, unknown_log, stream_corpus, stored_claims, stream_lifecycle, attempt_stream,
     )
 }

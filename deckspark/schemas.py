@@ -72,6 +72,9 @@ WORK_LOG = (
     "stub_batches bigint, submission_batches bigint, batch bigint"
 )
 
+# Failures of fetching a deck since its last report.
+ATTEMPT_STATE = "format string, moxfield_id string, failures int"
+
 # Where the sweeps stand of which pages have been read: the present run and the page at which it ended, if it has.
 SWEEP_STATE = "sweep_card string, sweep_format string, run bigint, last_page int"
 
