@@ -19,6 +19,7 @@ from deckspark.schemas import (
     CARDS,
     DECK_CARDS,
     DECKS,
+    STATUS_DEFAULTS,
     STUB_LOG,
     SUBMISSION_LOG,
     SWEEP_STATE,
@@ -41,7 +42,7 @@ class Tables:
         self.spark, self.root = spark, root
         key = ("format", "moxfield_id")
         self.cards = SnapshotTable(spark, f"{root}/cards", CARDS)
-        self.status = SnapshotTable(spark, f"{root}/card_format_status", CARD_FORMAT_STATUS)
+        self.status = SnapshotTable(spark, f"{root}/card_format_status", CARD_FORMAT_STATUS, defaults=STATUS_DEFAULTS)
         self.found = KeyedTable(spark, f"{root}/found_decks", DECKS, key, buckets)
         self.attempts = KeyedTable(spark, f"{root}/attempts", ATTEMPT_STATE, key, buckets)
         self.sweeps = KeyedTable(spark, f"{root}/sweeps", SWEEP_STATE, ("sweep_card", "sweep_format"), buckets)

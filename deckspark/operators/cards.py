@@ -10,6 +10,7 @@ from deckspark.functions.formats import formats_of_card
 from deckspark.operators.ordered import first_per_key, global_row_number
 from deckspark.operators.skew import lookup_join
 from deckspark.schemas import CARD_COLUMNS, CORRUPT, LEGALITIES
+from deckspark.session import shared_dir
 
 
 def parse_cards(raw: DataFrame) -> DataFrame:
@@ -61,34 +62,44 @@ def new_names(stored: DataFrame, incoming: DataFrame, name: str = "card_name") -
     return incoming.join(stored.select(name), name, "left_anti")
 
 
-def upsert_cards(
+def mark_changes(
     stored: DataFrame, incoming: DataFrame, name: str = "card_name", order: str = "ordinal"
 ) -> DataFrame:
-    """Merge incoming rows into the stored dimension by name.
+    """Stored and incoming rows as one row per name, with its ``change``: updated, inserted or kept.
 
-    Stored cards keep their id and take over every other incoming column; new
-    names get the ids after the greatest stored one, in file order. ``change``
-    tells updated, inserted and kept rows apart. Both sides are unique by name.
+    Stored cards keep their id and take over every other incoming column; inserted ones have no id yet, and their
+    ``order``. One join, each side once. Both sides are unique by name.
     """
     payload = [c for c in stored.columns if c not in ("id", name)]
     fresh = incoming.select(
-        name, *[F.col(c).alias(f"_new_{c}") for c in payload], F.lit(True).alias("_hit")
+        F.col(name).alias("_name"), *[F.col(c).alias(f"_new_{c}") for c in payload], F.col(order).alias("_order")
     )
-    old = stored.join(fresh, name, "left").select(
+    both = stored.join(fresh, F.col(name) == F.col("_name"), "full_outer")
+    hit, known = F.col("_name").isNotNull(), F.col(name).isNotNull()
+    return both.select(
         "id",
-        name,
-        *[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in payload],
-        F.when(F.col("_hit"), "updated").otherwise("kept").alias("change"),
-    )
-    top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    numbered = global_row_number(new_names(stored, incoming, name), [order], out="_rank")
-    added = numbered.select(
-        (F.lit(top) + F.col("_rank")).cast(stored.schema["id"].dataType).alias("id"),
-        name,
-        *payload,
-        F.lit("inserted").alias("change"),
+        F.coalesce(name, "_name").alias(name),
+        *[F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in payload],
+        F.when(hit & known, "updated").when(hit, "inserted").otherwise("kept").alias("change"),
+        "_order",
     )
-    return old.unionByName(added)
+
+
+def upsert_cards(
+    stored: DataFrame, incoming: DataFrame, name: str = "card_name", order: str = "ordinal"
+) -> DataFrame:
+    """Merge incoming rows into the stored dimension by name.
+
+    New names get the ids after the greatest stored one, in file order; only they are numbered. The joined rows
+    are checkpointed, so both sides are evaluated once.
+    """
+    shared_dir(stored.sparkSession)
+    marked = mark_changes(stored, incoming, name, order).checkpoint()
+    top = marked.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    numbered = global_row_number(marked.filter("change = 'inserted'"), ["_order"], out="_rank")
+    ids = (F.lit(top) + F.col("_rank")).cast(stored.schema["id"].dataType)
+    added = numbered.withColumn("id", ids).select(*[c for c in marked.columns if c != "_order"])
+    return marked.filter("change <> 'inserted'").drop("_order").unionByName(added)
 
 
 def count_changes(merged: DataFrame) -> DataFrame:

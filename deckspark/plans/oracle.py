@@ -382,6 +382,10 @@ ORACLE_SQL = {
                     WHEN o_orderstatus = 'P' THEN scraped_at END AS claimed_at
         FROM placed""",
     "stream_lifecycle": LIFECYCLE_EPOCHS,
+    "added_column": _with(UNITS) + """
+        SELECT CAST(card_id AS INTEGER) AS card_id, format, claimed_at, false AS ever_swept, 'full' AS mode FROM units
+        WHERE NOT swept AND (claimed_at IS NULL OR claimed_at < TIMESTAMP '1999-01-01' - INTERVAL 30 MINUTE)
+        ORDER BY claimed_at NULLS FIRST, card_id, format LIMIT 50""",
     "attempt_stream": """
         WITH a AS (
             SELECT user_id, CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) // 10 AS INTEGER) AS tens, event_id, event_type = 'purchase' AS ok

@@ -23,7 +23,7 @@ from deckspark.operators.skew import spread
 from deckspark.plans.corpus import BUILDS, Corpus
 from deckspark.plans.handout import Handout
 from deckspark.plans.seed import seed_cards
-from deckspark.schemas import CARD_FORMAT_STATUS, CARDS, DECK_CARDS, DECKS, STUB_LOG, SUBMISSION_LOG, WORK_LOG
+from deckspark.schemas import CARD_FORMAT_STATUS, CARDS, DECK_CARDS, DECKS, STATUS_DEFAULTS, STUB_LOG, SUBMISSION_LOG, WORK_LOG
 from deckspark.session import shared_dir
 from deckspark.sources.cards import parse_export
 from deckspark.sources.files import is_committed
@@ -367,7 +367,7 @@ def dimension_upsert(spark, sf_dir):
 
 
 def upsert_change_counts(spark, sf_dir):
-    return C.count_changes(dimension_upsert(spark, sf_dir))
+    return C.count_changes(C.mark_changes(vocabulary(spark, sf_dir), incoming_vocabulary(spark, sf_dir)))
 
 
 # --- resolution ------------------------------------------------------------------------------
@@ -588,6 +588,18 @@ def sweep_worklist(spark, sf_dir):
     return rows.select("card_id", "format", "claimed_at", S.sweep_mode(F.col("ever_swept")).alias("mode"))
 
 
+def added_column(spark, sf_dir):
+    """Units written before ``ever_swept`` existed, read with it: all are to be swept in full."""
+    folder = f"{scratch(spark, 'units')}/status"
+    old = CARD_FORMAT_STATUS.replace("ever_swept boolean, ", "")
+    rows = units(spark, sf_dir).withColumns({"card_id": F.col("card_id").cast("int"), "claimed_at": F.col("claimed_at").cast("timestamp")})
+    SnapshotTable(spark, folder, old).write(rows.drop("ever_swept"), 1)
+    now = SnapshotTable(spark, folder, CARD_FORMAT_STATUS, defaults=STATUS_DEFAULTS).read()
+    chosen = worklist.next_sweeps(now, F.expr("timestamp_ntz'1999-01-01 00:00:00'").cast("timestamp"), 50)
+    return chosen.select("card_id", "format", F.col("claimed_at").cast("timestamp_ntz").alias("claimed_at"), "ever_swept",
+                         S.sweep_mode(F.col("ever_swept")).alias("mode"))
+
+
 def deck_worklist(spark, sf_dir):
     return worklist.deck_worklist(order_decks(spark, sf_dir), F.expr(AS_OF), 50).select("format", "moxfield_id")
 
@@ -919,6 +931,6 @@ QUERIES = {
         bridge_replace, outcome_table, outcome_counts, settled_decks, attempt_verdict, sweep_worklist,
         deck_worklist, batch_assignment, lease_stamps, stale_leases, queue_drained, sweep_completion,
         lost_completions, cycle_reset, lifecycle_state, constraint_report, cascade_delete, stream_upsert,
-        seeded_status, unknown_log, stream_corpus, stored_claims, stream_lifecycle, attempt_stream,
+        seeded_status, unknown_log, stream_corpus, stored_claims, stream_lifecycle, attempt_stream, added_column,
     )
 }

@@ -41,6 +41,9 @@ CARD_FORMAT_STATUS = (
     "claimed_at timestamp, claimed_by string"
 )
 
+#: What a column added later holds in rows that were written before it existed.
+STATUS_DEFAULTS = {"swept": "false", "ever_swept": "false"}
+
 DECKS = (
     "format string, moxfield_id string, name string, author string, color_mask int, "
     "created_at_utc timestamp, updated_at_utc timestamp, scraped_at timestamp, "

@@ -171,3 +171,25 @@ def test_column_added_later(spark):
     assert with_default(old, "ever_swept", False).first()["ever_swept"] is False
     partly = spark.createDataFrame([(1, None), (2, True)], "card_id int, ever_swept boolean")
     assert [r[1] for r in with_default(partly, "ever_swept", False).collect()] == [False, True]
+
+
+def test_defaults_of_columns_added_later(spark, tmp_path):
+    """Old versions read the default, nulls of a new version stay."""
+    path = str(tmp_path / "s")
+    SnapshotTable(spark, path, "k int").write(spark.range(2).select(F.col("id").cast("int").alias("k")), 1)
+    table = SnapshotTable(spark, path, "k int, b boolean, s string", defaults={"b": "false"})
+    assert sorted(map(tuple, table.read().collect())) == [(0, False, None), (1, False, None)]
+    table.write(table.read().withColumn("b", F.when(F.col("k") == 0, True)), 2)
+    assert sorted(map(tuple, table.read().collect())) == [(0, True, None), (1, None, None)]
+
+
+def test_upsert_reads_each_side_once(spark, tmp_path):
+    spark.range(5).selectExpr("CAST(id AS int) id", "concat('c', id) card_name", "id n").write.parquet(str(tmp_path / "old"))
+    spark.range(3, 9).selectExpr("concat('c', id) card_name", "id * 10 n", "id ordinal").write.parquet(str(tmp_path / "new"))
+    old, new = (spark.read.parquet(str(tmp_path / n)) for n in ("old", "new"))
+    plan = C.mark_changes(old, new)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") == 2
+    got = sorted((r["card_name"], r["id"], r["n"], r["change"]) for r in C.upsert_cards(old, new).collect())
+    assert got == [(f"c{k}", k, k, "kept") for k in range(3)] + [(f"c{k}", k, 10 * k, "updated") for k in (3, 4)] + [
+        (f"c{k}", k, 10 * k, "inserted") for k in range(5, 9)
+    ]
