@@ -83,8 +83,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", assign_shards),
 ]
 
-#: The language machines and the hashes that order a mix are not expressible in SQL; tests/llm runs
-#: the stages and checks their columns, but does not hold each against a brute-force version.
+#: The language machines and the hashes that order a mix are not expressible in SQL. tests/llm holds the stages for near
+#: duplicates and contamination against brute force, the language stage against known languages, and the mix against its targets.
 ORACLE_SQL = None
 
 
