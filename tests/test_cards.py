@@ -8,7 +8,7 @@ from deckspark.operators import skew
 from deckspark.operators.ordered import global_row_number
 from deckspark.plans.seed import seed_cards, seed_from_manifest, table_stats
 from deckspark.schemas import CARD_FORMAT_STATUS, CARDS
-from deckspark.sources.cards import export_path, land_export, read_export, read_manifest
+from deckspark.sources.cards import export_path, land_export, read_array, read_export, read_manifest
 from deckspark.sources.snapshots import SnapshotTable, with_default
 
 EXPORT = [
@@ -193,3 +193,39 @@ def test_upsert_reads_each_side_once(spark, tmp_path):
     assert got == [(f"c{k}", k, k, "kept") for k in range(3)] + [(f"c{k}", k, 10 * k, "updated") for k in (3, 4)] + [
         (f"c{k}", k, 10 * k, "inserted") for k in range(5, 9)
     ]
+
+
+def test_array_is_read_by_several_tasks(spark, tmp_path):
+    """Cuts fall inside strings, escapes and nested objects; cards and ordinals are those of one task."""
+    cards = EXPORT + [
+        {"name": f'n{i} }} {{ "q" \\ \\" , [', "id": str(i), "legalities": {"modern": "legal"}, "image_uris": {"small": "{" * (i % 5)},
+         "keywords": ["}", '"', "\\", "é€"]} for i in range(300)
+    ]
+    path = tmp_path / "big.json"
+    path.write_text(json.dumps(cards, indent=1, ensure_ascii=False), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        parts = spark.read.option("lineSep", "}").text(str(path)).rdd.getNumPartitions()
+        many = {r["ordinal"]["row"]: r for r in read_array(spark, str(path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    one = {r["ordinal"]["row"]: r for r in read_export(spark, str(path)).collect()}
+    assert parts > 4 and set(many) == set(one) == set(range(len(cards)))
+    for number, row in one.items():
+        if row["_corrupt_record"] is None:
+            assert str(many[number]) == str(row)
+        else:
+            assert "Broken" in many[number]["_corrupt_record"]
+
+
+@pytest.mark.parametrize("text, names, broken", [
+    ("[]", [], 0), ("", [], 0), (" [ ] \n", [], 0), ('[{"name":"a"}]', ["a"], 0), ('{"name":"a"}\n{"name":"b"}', ["a", "b"], 0),
+    ('[{"name":"a"},{"name":"b', ["a"], 1), ('[{"name":"a"}, 7, {"name":"b"}]', ["a"], 1), ('[{"name":"a","x":{}}\n,\n{"name":"}"}]\n', ["a", "}"], 0),
+])
+def test_odd_arrays(spark, tmp_path, text, names, broken):
+    path = tmp_path / "odd.json"
+    path.write_text(text)
+    good, bad = C.split_corrupt(read_array(spark, str(path)).persist())
+    assert [r["name"] for r in good.orderBy("ordinal").collect()] == names and bad.count() == broken
