@@ -19,6 +19,7 @@ from deckspark.schemas import (
     CARDS,
     DECK_CARDS,
     DECKS,
+    OPEN_DECKS,
     STATUS_DEFAULTS,
     STUB_LOG,
     SUBMISSION_LOG,
@@ -53,6 +54,7 @@ class Tables:
             KeyedTable(spark, f"{root}/deck_cards", DECK_CARDS, key, buckets),
             SnapshotTable(spark, f"{root}/builds", BUILDS),
             WorkLog(spark, f"{root}/work_log", WORK_LOG),
+            KeyedTable(spark, f"{root}/open_decks", OPEN_DECKS, key, buckets),
         )
 
     def handout(self) -> Handout:
@@ -92,7 +94,7 @@ def discover(tables: Tables, args: argparse.Namespace) -> None:
         tables.found, tables.corpus.stub_log, f"{tables.root}/broken_pages", args.merge_every, tables.sweeps, finished
     )
     pages = read_pages(tables.spark, args.landing, stream=True, files_per_batch=args.files_per_batch)
-    query = start_discovery(pages, sink, f"{tables.root}/checkpoints/discover", not args.keep_running)
+    query = start_discovery(pages, sink, f"{tables.root}/checkpoints/discover", not args.keep_running, args.adopt)
     try:
         query.awaitTermination()
     finally:
@@ -108,13 +110,19 @@ def submit(tables: Tables, args: argparse.Namespace) -> None:
         f"{tables.root}/broken_documents", tables.attempts if args.attempts else None, f"{tables.root}/unknown_cards_text",
     )
     details = read_details(tables.spark, args.landing, stream=True, files_per_batch=args.files_per_batch)
-    start_submissions(details, sink, f"{tables.root}/checkpoints/submit", not args.keep_running).awaitTermination()
+    start_submissions(
+        details, sink, f"{tables.root}/checkpoints/submit", not args.keep_running, args.adopt
+    ).awaitTermination()
 
 
 def build(tables: Tables, args: argparse.Namespace) -> None:
     print(f"version {tables.corpus.build()}")
 
 
+def resolve(tables: Tables, args: argparse.Namespace) -> None:
+    print(f"{tables.corpus.resolve_again(tables.cards.read())} decks changed")
+
+
 def sweeps(tables: Tables, args: argparse.Namespace) -> None:
     now, work = F.current_timestamp(), tables.handout()
     if args.worker:
@@ -142,7 +150,10 @@ def complete(tables: Tables, args: argparse.Namespace) -> None:
 
 
 def vacuum(tables: Tables, args: argparse.Namespace) -> None:
-    for table in (tables.found, tables.sweeps, tables.corpus.decks, tables.corpus.deck_cards):
+    corpus, changes = tables.corpus, SnapshotTable(tables.spark, f"{tables.cards.path}_changes", CARDS)
+    built = (corpus.decks, corpus.deck_cards, corpus.open_decks)
+    # Notes of builds go with their tables: what is judged before them is worked out from the logs instead.
+    for table in (tables.found, tables.sweeps, tables.attempts, tables.cards, changes, tables.status, corpus.builds, *built):
         print(f"{table.path}: {len(table.vacuum(args.keep))} folders removed")
 
 
@@ -173,12 +184,14 @@ def parser() -> argparse.ArgumentParser:
         job.add_argument("--landing", required=True)
         job.add_argument("--files-per-batch", type=int, default=1000)
         job.add_argument("--keep-running", action="store_true")
+        job.add_argument("--adopt", action="store_true", help="the checkpoint is lost or new: go on after the log's last batch")
         if run is discover:
             job.add_argument("--merge-every", type=int, default=1, help="micro-batches per merge")
         else:
             job.add_argument("--attempts", action="store_true", help="errors are single attempts; three in a row make one")
         job.set_defaults(run=run)
     jobs.add_parser("build", help="build the deck tables from the logs").set_defaults(run=build)
+    jobs.add_parser("resolve", help="after seeding: look up unresolved names of built decks again").set_defaults(run=resolve)
     for name, run, limit in (("sweeps", sweeps, 1), ("decks", decks, BATCH_SIZE)):
         job = jobs.add_parser(name, help=f"next {name} to work on")
         job.add_argument("--limit", type=int, default=limit)

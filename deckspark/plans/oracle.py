@@ -457,3 +457,5 @@ ORACLE_SQL = {
         UNION ALL
         SELECT moxfield_id, NULL, NULL, 'done', stamp, stamp FROM fetched f WHERE NOT EXISTS (SELECT 1 FROM found WHERE found.moxfield_id = f.moxfield_id)""",
 }
+# Packed again when all names are known, decks are what one packing with all of them gives.
+ORACLE_SQL["names_resolved_later"] = ORACLE_SQL["array_pack"]

@@ -478,6 +478,24 @@ def bridge_of_documents(spark, sf_dir):
     )
 
 
+def names_resolved_later(spark, sf_dir):
+    """Decks packed while only cards with long names were known, and packed again with all of them: as if submitted then."""
+    cards = vocabulary(spark, sf_dir)
+    early = submissions.submission_rows(deck_documents(spark, sf_dir), cards.filter("length(card_name) > 5"))
+    shared_dir(spark)
+    early = early.checkpoint()
+    again = submissions.resolve_open(early.filter("open IS NOT NULL").select(*submissions.KEY, "open"), cards)
+    contents = [*submissions.KEY, "card_ids", "commander_ids", "unresolved"]
+    as_before = early.join(again.select(*submissions.KEY), submissions.KEY, "left_anti")
+    now = as_before.select(*contents).unionByName(again.select(*contents)).filter("card_ids IS NOT NULL")
+    return now.select(
+        "format", "moxfield_id", F.size("card_ids").alias("n_rows"),
+        F.array_join("card_ids", ",").alias("card_ids"),
+        F.array_join(F.coalesce("commander_ids", F.array().cast("array<int>")), ",").alias("commander_ids"),
+        F.md5(F.array_join("unresolved", "|")).alias("unresolved_md5"),
+    )
+
+
 def bridge_replace(spark, sf_dir):
     """Lines shipped later replace all earlier lines of their order."""
     lines = table(spark, sf_dir, "lineitem").select(
@@ -927,7 +945,7 @@ QUERIES = {
         card_usage, card_parse, first_card_of_name, dedupe_first_wins, collision_count, color_masks, color_mask_rows,
         format_fanout, format_stats, card_total, status_extension, insert_anti, dimension_upsert,
         upsert_change_counts, name_resolve, unresolved_names, stub_parse, unknown_formats, stub_upsert,
-        stub_upsert_counts, early_exit_pages, sweep_totals, deck_flatten, array_pack, bridge_of_documents,
+        stub_upsert_counts, early_exit_pages, sweep_totals, deck_flatten, array_pack, bridge_of_documents, names_resolved_later,
         bridge_replace, outcome_table, outcome_counts, settled_decks, attempt_verdict, sweep_worklist,
         deck_worklist, batch_assignment, lease_stamps, stale_leases, queue_drained, sweep_completion,
         lost_completions, cycle_reset, lifecycle_state, constraint_report, cascade_delete, stream_upsert,

@@ -60,12 +60,21 @@ STUB_LOG = (
     "sweep_card string, sweep_format string, page int, seq bigint, pos int, batch bigint"
 )
 
+# What is needed to pack a deck again when its unresolved names get cards; null where all have one.
+_OPEN = (
+    "struct<entries: array<struct<pos: int, card_id: int, board: string, quantity: int>>, "
+    "missing: array<struct<pos: int, card_name: string, board: string, quantity: int>>>"
+)
+
+#: Decks whose present contents have unresolved names.
+OPEN_DECKS = f"format string, moxfield_id string, open {_OPEN}"
+
 # ``stub_batches`` is how many batches of stubs had been logged when the submission was judged.
 SUBMISSION_LOG = (
     "format string, moxfield_id string, seq bigint, fetched_at timestamp, error boolean, "
     "card_ids array<int>, commander_ids array<int>, "
     "bridge array<struct<card_id: int, board: string, pos: int, quantity: int>>, "
-    "unresolved array<string>, n_rows int, doc bigint, stub_batches bigint, batch bigint"
+    f"unresolved array<string>, n_rows int, doc bigint, stub_batches bigint, batch bigint, open {_OPEN}"
 )
 
 # What was handed out and finished: ``claim`` and ``complete`` of sweeps, ``claim`` of decks, ``reset`` of the cycle. The

@@ -13,7 +13,7 @@ from deckspark.operators.stubs import fold_stubs, parse_stubs, upsert_stubs
 from deckspark.schemas import CORRUPT
 from deckspark.sources.keyed import KeyedTable
 from deckspark.sources.snapshots import SnapshotTable
-from deckspark.streaming.logs import BatchLog
+from deckspark.streaming.logs import BatchLog, start_bound
 
 
 class StubSink:
@@ -97,18 +97,11 @@ class StubSink:
             self.finished(cut.finished, batch_id)
 
 
-def start_stubs(stubs: DataFrame, sink: StubSink, checkpoint: str, once: bool = True) -> StreamingQuery:
+def start_stubs(stubs: DataFrame, sink: StubSink, checkpoint: str, once: bool = True, adopt: bool = False) -> StreamingQuery:
     """Run a stream of parsed stubs into the sink; ``once`` stops at the end of what has landed."""
-    return _start(stubs, sink, checkpoint, once)
+    return start_bound(stubs, sink, sink.log, checkpoint, once, adopt)
 
 
-def start_discovery(pages: DataFrame, sink: StubSink, checkpoint: str, once: bool = True) -> StreamingQuery:
+def start_discovery(pages: DataFrame, sink: StubSink, checkpoint: str, once: bool = True, adopt: bool = False) -> StreamingQuery:
     """The same for a stream of landed pages."""
-    return _start(pages, sink.take_pages, checkpoint, once)
-
-
-def _start(
-    rows: DataFrame, target: Callable[[DataFrame, int], None], checkpoint: str, once: bool
-) -> StreamingQuery:
-    writer = rows.writeStream.foreachBatch(target).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return start_bound(pages, sink.take_pages, sink.log, checkpoint, once, adopt)

@@ -116,7 +116,7 @@ def test_vacuum_keeps_what_is_needed(spark, tmp_path):
 
 
 def submission(seq, card, batch, stub_batches=1, doc=0):
-    return ("modern", "d", seq, DAY, False, None, None, [(card, "mainboard", 0, 1)], [], 1, doc, stub_batches, batch)
+    return ("modern", "d", seq, DAY, False, None, None, [(card, "mainboard", 0, 1)], [], 1, doc, stub_batches, batch, None)
 
 
 def stub(deck, seq, stamp, batch):

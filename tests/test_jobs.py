@@ -93,3 +93,18 @@ def test_jobs_end_to_end(spark, tmp_path, capsys):
     assert [(r["moxfield_id"], r["card_id"], r["quantity"]) for r in rows] == [("a", 1, 4)]
     deck = corpus.decks.read().filter("moxfield_id = 'c'").first()
     assert (deck["card_ids"], deck["commander_ids"], deck["status"]) == ([1], [1], "done")
+
+    # A card that was unknown is seeded: the deck that names it is what a fresh submission would make it, the other one is left alone.
+    export.write_text(json.dumps([{"name": "Void", "id": "9"}]))
+    main([*root, "seed", "--export", str(export)])
+    capsys.readouterr()
+    main([*root, "resolve"])
+    main([*root, "resolve"])
+    assert capsys.readouterr().out.splitlines()[-2:] == ["1 decks changed", "0 decks changed"]
+    rows = corpus.deck_cards.read().collect()
+    assert sorted((r["moxfield_id"], r["card_id"], r["quantity"]) for r in rows) == [("a", 1, 4), ("a", 3, 1)]
+    assert corpus.open_decks.read().isEmpty() and corpus.decks.read().count() == 3
+    # What no kept version needs goes; the tables stay as they are.
+    main([*root, "vacuum", "--keep", "1"])
+    assert corpus.builds.versions() == [2] and Tables(spark, str(tmp_path / "corpus"), 4).cards.read().count() == 3
+    assert corpus.deck_cards.read().count() == 2
