@@ -2,15 +2,17 @@
 
 A token is predicted from its class and then within its class, both by a softmax over sums of hashed weight
 rows: one for the word before (n-gram), one for the two words before together, and one for the word before
-that alone (skip). The commonest words of the training texts are in classes of equal size by frequency;
-all other words are one further class, within which a word has its smoothed relative frequency. The
-probabilities of all words that training saw, and of one that it did not, add up to one.
+that alone (skip). Every word counts as itself in the features, by its hash. The commonest words of the training texts are
+in classes of equal size by frequency; all others are dealt by hash to further classes, within which a word has its smoothed
+relative frequency. The probabilities of all words that training saw, and of one unseen word in each of the further
+classes, add up to one.
 
 Texts are cut once into a table of batches: token codes of some hundred texts and the distinct words of them.
 Counts are exact and by word; they come back to the batches by a join on words. Training goes over all
 training tokens: in each round every task makes gradient steps from the common model on its share, and the changes
 are averaged row by row, weighed by how often a row was used. Sums go up a tree of bounded groups. The
-model's size is set by parameters and does not grow with the corpus.
+further classes grow with the square root of the counted vocabulary, the rows with its fourth root, so a vocabulary of
+10^8 words makes a model of some 40 MB.
 
 Defined cases: a null text is an empty one, which has one token, its end; without training texts all tokens are
 the unseen word with probability one; repeated rows count and score each for itself; an empty table gives no
@@ -19,7 +21,9 @@ rows. Long texts are a batch of their own.
 
 from __future__ import annotations
 
+import math
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,10 +39,16 @@ from deckspark.llm.common import cut
 from deckspark.llm.words import SPACED, slices, words
 from deckspark.session import shared_dir
 
-#: Classes of the common words, words in each, and rows of hashed weights.
+#: Classes of the common words, and words in each.
 CLASSES, CLASS_WORDS = 32, 32
-CLASS_ROWS, WORD_ROWS = 1 << 12, 1 << 13
+#: Bits of the number of rows of hashed weights, for classes and for words within them, of a vocabulary of 2^16 words or
+#: fewer; one more for each further factor of 16.
+CLASS_BITS, WORD_BITS, BASE_BITS = 12, 13, 16
+#: There is a class of uncommon words for each 16 of the square root of the vocabulary.
+TAIL_SHARE = 16
 FEATURES = 3
+#: Context of a word that is not there; hashes of words are below. The end of a text counts as a word of its own.
+NONE, END = np.uint64(1 << 32), b"\n"
 #: Rounds of training; each takes its share of the training batches, all together take all.
 ROUNDS = 2
 #: Text of one batch. Larger batches have fewer distinct words in all, which is what travels to be counted.
@@ -50,7 +60,7 @@ SEGMENTS, FAN_IN = 16, 16
 
 @dataclass
 class Model:
-    """Weights of the class softmax (last class: all uncommon words) and of the softmax within classes."""
+    """Weights of the class softmax (common classes first) and of the softmax within classes of common words."""
 
     common: list[str]
     end_rank: int
@@ -58,7 +68,7 @@ class Model:
     word_bias: np.ndarray
     class_weights: np.ndarray
     word_weights: np.ndarray
-    tail_mass: float
+    tail_mass: np.ndarray
     total: int
     distinct: int
     end_count: int
@@ -67,58 +77,52 @@ class Model:
     def tail(self) -> int:
         return len(self.common)
 
-    def ids(self, vocabulary: pa.Array) -> np.ndarray:
-        """Model numbers of a batch's words, and of the end behind them."""
+    def ids(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks (uncommon words: ``tail``) and hashes of a batch's words, and of the end behind them."""
         known = pc.index_in(vocabulary, pa.array(self.common, pa.string())).fill_null(self.tail)
-        return np.append(known.to_numpy(zero_copy_only=False), self.end_rank if self.end_rank >= 0 else self.tail)
-
-    def rows(self, token: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Hashes of the features of each token; ``first`` marks the first token of a text."""
-        none = np.uint64(self.tail + 1)
-        one = np.full(len(token), none)
-        two = np.full(len(token), none)
-        one[1:] = token[:-1]
-        one[first] = none
-        two[2:] = token[:-2]
-        two[first] = none
-        two[1:][first[:-1]] = none
-        mix = np.uint64(0x9E3779B97F4A7C15)
-        codes = [one * np.uint64(3) + np.uint64(1), (one * np.uint64(1 << 20) + two) * np.uint64(3) + np.uint64(2), two * np.uint64(3)]
-        out = np.stack([c * mix for c in codes])
-        return out ^ (out >> np.uint64(29))
-
-    def forward(self, token: np.ndarray, hashes: np.ndarray):
+        rank = np.append(known.to_numpy(zero_copy_only=False), self.end_rank if self.end_rank >= 0 else self.tail)
+        texts = vocabulary.cast(pa.binary()).to_pylist()
+        return rank.astype(np.int64), np.array([*map(zlib.crc32, texts), zlib.crc32(END)], np.uint64)
+
+    def groups(self, rank: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Class of each token, from its rank and its hash."""
+        tails = len(self.tail_mass)
+        further = len(self.class_bias) - tails + (word % np.uint64(tails)).astype(np.int64)
+        return np.where(rank < self.tail, rank // CLASS_WORDS, further)
+
+    def forward(self, rank: np.ndarray, word: np.ndarray, one: np.ndarray, two: np.ndarray):
         """(class, class rows, log class probabilities, common tokens, place, word rows, log word probabilities)."""
-        group = np.where(token < self.tail, token // CLASS_WORDS, len(self.class_bias) - 1).astype(np.int64)
-        rows = ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 12)).astype(np.int64)
+        hashes = features(one, two)
+        group = self.groups(rank, word)
+        rows = _rows(hashes, 0xD6E8FEB86659FD93, len(self.class_weights))
         scores = self.class_bias + sum(self.class_weights[r] for r in rows)
-        inner = np.flatnonzero(token < self.tail)
+        inner = np.flatnonzero(rank < self.tail)
         own = group[inner]
-        keyed = (hashes[:, inner] + own.astype(np.uint64)) * np.uint64(0xA0761D6478BD642F)
-        word_rows = (keyed >> np.uint64(64 - 13)).astype(np.int64)
+        word_rows = _rows(hashes[:, inner] + own.astype(np.uint64), 0xA0761D6478BD642F, len(self.word_weights))
         word_scores = self.word_bias[own] + sum(self.word_weights[r] for r in word_rows)
-        return group, rows, _log_softmax(scores), inner, token[inner] % CLASS_WORDS, word_rows, _log_softmax(word_scores)
+        return group, rows, _log_softmax(scores), inner, rank[inner] % CLASS_WORDS, word_rows, _log_softmax(word_scores)
 
-    def log_probabilities(self, token: np.ndarray, count: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, rank: np.ndarray, word: np.ndarray, count: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural logarithms of the tokens' probabilities; counts matter for uncommon words."""
-        out = np.empty(len(token))
-        hashes = self.rows(token, first)
-        for a in range(0, len(token), STEP_TOKENS):
+        out = np.empty(len(rank))
+        one, two = before(word, first)
+        for a in range(0, len(rank), STEP_TOKENS):
             part = slice(a, a + STEP_TOKENS)
-            group, _, by_class, inner, place, _, by_word = self.forward(token[part], hashes[:, part])
+            group, _, by_class, inner, place, _, by_word = self.forward(rank[part], word[part], one[part], two[part])
             value = by_class[np.arange(len(group)), group].astype(float)
             value[inner] += by_word[np.arange(len(inner)), place]
-            rare = token[part] >= self.tail
-            value[rare] += np.log((count[part][rare] + 0.5) / self.tail_mass)
+            rare = rank[part] >= self.tail
+            mass = self.tail_mass[group[rare] - (len(self.class_bias) - len(self.tail_mass))]
+            value[rare] += np.log((count[part][rare] + 0.5) / mass)
             out[part] = value
         return out
 
-    def train(self, token: np.ndarray, first: np.ndarray, state: dict) -> None:
+    def train(self, rank: np.ndarray, word: np.ndarray, first: np.ndarray, state: dict) -> None:
         """One pass of steps over the tokens of a batch. Rates fall with a row's own squared gradients."""
-        hashes = self.rows(token, first)
-        for a in range(0, len(token), STEP_TOKENS):
+        one, two = before(word, first)
+        for a in range(0, len(rank), STEP_TOKENS):
             part = slice(a, a + STEP_TOKENS)
-            group, rows, by_class, inner, place, word_rows, by_word = self.forward(token[part], hashes[:, part])
+            group, rows, by_class, inner, place, word_rows, by_word = self.forward(rank[part], word[part], one[part], two[part])
             error = np.exp(by_class)
             error[np.arange(len(group)), group] -= 1
             word_error = np.exp(by_word)
@@ -129,6 +133,31 @@ class Model:
                     _step(self.word_weights, state["word"], state["word_used"], word_rows[f], word_error)
 
 
+def before(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word before each token and of the one before that; ``first`` marks the first token of a text."""
+    one, two = np.full(len(word), NONE), np.full(len(word), NONE)
+    one[1:] = word[:-1]
+    one[first] = NONE
+    two[2:] = word[:-2]
+    two[first] = NONE
+    two[1:][first[:-1]] = NONE
+    return one, two
+
+
+def features(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Hashes of a token's features: the word before, the two before together, the second one alone."""
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    three = np.uint64(3)
+    codes = [one * three + np.uint64(1), (one * np.uint64(0xC2B2AE3D27D4EB4F) + two) * three + np.uint64(2), two * three]
+    out = np.stack([c * mix for c in codes])
+    return out ^ (out >> np.uint64(29))
+
+
+def _rows(hashes: np.ndarray, factor: int, rows: int) -> np.ndarray:
+    """Rows of weights by the high bits; ``rows`` is a power of two."""
+    return ((hashes * np.uint64(factor)) >> np.uint64(65 - rows.bit_length())).astype(np.int64)
+
+
 def _log_softmax(scores: np.ndarray) -> np.ndarray:
     scores = scores - scores.max(1, keepdims=True)
     return scores - np.log(np.exp(scores).sum(1, keepdims=True))
@@ -208,31 +237,42 @@ def word_counts(batches: DataFrame) -> DataFrame:
 
 
 def start_model(counts: DataFrame, training_docs: int) -> Model:
-    """A model of the word frequencies alone; the common words are of bounded number."""
+    """A model of the word frequencies alone; the common words are of bounded number, the classes of the others few."""
     size = CLASSES * CLASS_WORDS
     sums = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     top = [(r[0], r[1]) for r in counts.orderBy(F.desc("c"), "word").limit(size).collect()]
-    ends = [(None, training_docs)] if training_docs else []
-    ranked = sorted(ends + top, key=lambda r: (-r[1], r[0] is not None, r[0] or ""))[:size]
+    end = [(None, training_docs)] if training_docs else []
+    ranked = sorted(end + top, key=lambda r: (-r[1], r[0] is not None, r[0] or ""))[:size]
     common = np.array([r[1] for r in ranked], float)
     n_classes = -(-len(ranked) // CLASS_WORDS)
     padded = np.zeros(n_classes * CLASS_WORDS)
     padded[: len(common)] = common
     by_class = padded.reshape(n_classes, CLASS_WORDS)
     total, distinct = sums[1] + training_docs, sums[0] + bool(training_docs)
-    in_tail = total - common.sum()
-    tail_mass = in_tail + 0.5 * (distinct - len(ranked)) + 0.5
+
+    # The classes of the other words: all words by class, without the common ones. Each class has one unseen word.
+    tails = max(1, math.isqrt(distinct) // TAIL_SHARE)
+    tail_mass = np.full(tails, 0.5)
+    dealt = counts.groupBy((F.crc32(F.col("word").cast("binary")) % tails).alias("k")).agg(F.sum("c"), F.count("*"))
+    for k, words_of, distinct_of in dealt.collect():
+        tail_mass[k] += words_of + 0.5 * distinct_of
+    for word, c in end:
+        tail_mass[zlib.crc32(END) % tails] += c + 0.5
+    for word, c in ranked:
+        tail_mass[zlib.crc32(END if word is None else word.encode()) % tails] -= c + 0.5
+
     mass = np.append(by_class.sum(1), tail_mass)
     with np.errstate(divide="ignore"):
         word_bias = np.log(by_class) - np.log(np.maximum(1e-30, by_class.sum(1, keepdims=True)))
+    more = max(0, distinct.bit_length() - 1 - BASE_BITS) // 4
     return Model(
         ["\n" if r[0] is None else r[0] for r in ranked],
         next((k for k, r in enumerate(ranked) if r[0] is None), -1),
         np.log(mass / mass.sum()).astype(np.float32),
         np.maximum(word_bias, -1e9).astype(np.float32),
-        np.zeros((CLASS_ROWS, n_classes + 1), np.float32),
-        np.zeros((WORD_ROWS, CLASS_WORDS), np.float32),
-        float(tail_mass),
+        np.zeros((1 << CLASS_BITS + more, n_classes + tails), np.float32),
+        np.zeros((1 << WORD_BITS + more, CLASS_WORDS), np.float32),
+        tail_mass,
         int(total),
         int(distinct),
         int(training_docs),
@@ -251,21 +291,23 @@ def train_round(batches: DataFrame, model: Model, share: int, shares: int) -> Mo
         # An own copy: the broadcast value is shared by the tasks of a worker.
         local = Model(**{**own.__dict__, "class_weights": start[0].copy(), "word_weights": start[1].copy()})
         state = {
-            "class": np.zeros(CLASS_ROWS, np.float32),
-            "class_used": np.zeros(CLASS_ROWS),
-            "word": np.zeros(WORD_ROWS, np.float32),
-            "word_used": np.zeros(WORD_ROWS),
+            "class": np.zeros(len(start[0]), np.float32),
+            "class_used": np.zeros(len(start[0])),
+            "word": np.zeros(len(start[1]), np.float32),
+            "word_used": np.zeros(len(start[1])),
         }
         for frame in frames:
             for k in range(frame.num_rows):
                 flags = frame.column(0)[k].values.to_numpy(zero_copy_only=False)
                 lengths = frame.column(1)[k].values.to_numpy()
-                token = local.ids(frame.column(4)[k].values)[unpacked(frame.column(2)[k], frame.column(3)[k])]
-                first = np.zeros(len(token), bool)
-                first[np.cumsum(lengths) - lengths] = True
                 keep = np.repeat(flags, lengths)
-                if keep.any():
-                    local.train(token[keep].astype(np.uint64), first[keep], state)
+                if not keep.any():
+                    continue
+                first = np.zeros(len(keep), bool)
+                first[np.cumsum(lengths) - lengths] = True
+                codes = unpacked(frame.column(2)[k], frame.column(3)[k])[keep]
+                rank, word = local.ids(frame.column(4)[k].values)
+                local.train(rank[codes], word[codes], first[keep], state)
         changes = []
         for name, before, after in (
             ("class", start[0], local.class_weights),
@@ -297,7 +339,8 @@ def train_round(batches: DataFrame, model: Model, share: int, shares: int) -> Mo
     if not len(flat):
         return model
     width = model.class_weights.shape[1] + 1
-    parts = (flat[: CLASS_ROWS * width].reshape(CLASS_ROWS, width), flat[CLASS_ROWS * width :].reshape(WORD_ROWS, CLASS_WORDS + 1))
+    border = len(model.class_weights) * width
+    parts = (flat[:border].reshape(-1, width), flat[border:].reshape(-1, CLASS_WORDS + 1))
     moved = [(p[:, :-1] / np.maximum(1, p[:, -1:])).astype(np.float32) for p in parts]
     return Model(
         **{**model.__dict__, "class_weights": model.class_weights + moved[0], "word_weights": model.word_weights + moved[1]}
@@ -308,12 +351,21 @@ def score_texts(docs: DataFrame, training: str, text: str = "text", doc_id: str
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every text; ``training`` is a boolean column."""
     batches = batch_table(docs, doc_id, text, training)
     counts = word_counts(batches)
+    return score_batches(batches, counts, fit(batches, counts, rounds))
+
+
+def fit(batches: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model of the training texts in ``batches``; all of them are trained on."""
     training_docs = batches.agg(
         F.coalesce(F.sum(F.size(F.filter("training", lambda t: t))), F.lit(0))
     ).first()[0]
     model = start_model(counts, training_docs)
     for k in range(rounds):
         model = train_round(batches, model, k, rounds)
+    return model
+
+
+def score_batches(batches: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     # Each batch gets the counts of its own words: as many rows as it has distinct words.
     asked = batches.select("batch", F.posexplode("words").alias("place", "word"))
     known = (
@@ -322,7 +374,7 @@ def score_texts(docs: DataFrame, training: str, text: str = "text", doc_id: str
         .agg(F.collect_list("place").alias("places"), F.collect_list("c").alias("counts"))
     )
     ready = batches.select("batch", "doc_ids", "lengths", "low", "high", "words").join(known, "batch", "left").drop("batch")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = batches.sparkSession.sparkContext.broadcast(model)
 
     def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -340,8 +392,8 @@ def score_texts(docs: DataFrame, training: str, text: str = "text", doc_id: str
                 starts = np.cumsum(lengths) - lengths
                 first = np.zeros(len(codes), bool)
                 first[starts] = True
-                token = own.ids(vocabulary)[codes].astype(np.uint64)
-                natural = own.log_probabilities(token, token_count, first)
+                rank, word = own.ids(vocabulary)
+                natural = own.log_probabilities(rank[codes], word[codes], token_count, first)
                 base = np.log10((token_count + 0.5) / (own.total + 0.5 * (own.distinct + 1)))
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -3,7 +3,9 @@
 import hashlib
 import math
 import os
+import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -283,3 +285,60 @@ def test_pipeline_stages_keep_their_columns(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
     assert docs.filter("shard is null").count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def plain_probabilities(model, before, count_of, vocabulary):
+    """Log probabilities of all words after the two words ``before``, by plain loops over the model's weights."""
+    whole, none = 2**64, 1 << 32
+    hashed = [none if w is False else zlib.crc32(b"\n" if w is None else w.encode()) for w in before]
+    two, one = hashed
+    codes = [one * 3 + 1, (one * 0xC2B2AE3D27D4EB4F + two) * 3 + 2, two * 3]
+    codes = [c % whole * 0x9E3779B97F4A7C15 % whole for c in codes]
+    codes = [c ^ (c >> 29) for c in codes]
+
+    def softmax(bias, weights, rows):
+        scores = [float(b) + sum(float(weights[r][j]) for r in rows) for j, b in enumerate(bias)]
+        top = max(scores)
+        total = sum(math.exp(s - top) for s in scores)
+        return [s - top - math.log(total) for s in scores]
+
+    def rows(weights, factor, shift):
+        bits = len(weights).bit_length() - 1
+        return [(c + shift) % whole * factor % whole >> (64 - bits) for c in codes]
+
+    classes = softmax(model.class_bias, model.class_weights, rows(model.class_weights, 0xD6E8FEB86659FD93, 0))
+    heads = len(classes) - len(model.tail_mass)
+    rank = {None if w == "\n" else w: k for k, w in enumerate(model.common)}
+    out = {}
+    for word in vocabulary:
+        if word in rank:
+            group, place = divmod(rank[word], maxent.CLASS_WORDS)
+            inner = softmax(model.word_bias[group], model.word_weights, rows(model.word_weights, 0xA0761D6478BD642F, group))
+            out[word] = classes[group] + inner[place]
+        else:
+            k = zlib.crc32(b"\n" if word is None else word.encode()) % len(model.tail_mass)
+            out[word] = classes[heads + k] + math.log((count_of.get(word, 0) + 0.5) / model.tail_mass[k])
+    return out, sum(math.exp(classes[heads + k]) * 0.5 / m for k, m in enumerate(model.tail_mass))
+
+
+def test_scores_are_those_of_the_model(spark, monkeypatch):
+    """Small classes, so that most words are uncommon: each still has features and a class of its own choice."""
+    monkeypatch.setattr(maxent, "CLASSES", 3)
+    monkeypatch.setattr(maxent, "TAIL_SHARE", 4)
+    rng = random.Random(3)
+    texts = [" ".join(f"w{min(rng.randrange(1, 400), rng.randrange(1, 400))}" for _ in range(rng.randrange(60))) for _ in range(120)]
+    docs = spark.createDataFrame([(k, t, k % 5 != 1) for k, t in enumerate(texts)], "doc_id int, text string, training boolean")
+    batches = maxent.batch_table(docs, "doc_id", "text", "training")
+    counts = maxent.word_counts(batches)
+    model = maxent.fit(batches, counts)
+    assert len(model.common) == 96 and len(model.tail_mass) > 3 and model.class_weights[:, -1].any()
+    got = {r["doc_id"]: r["score"] for r in maxent.score_batches(batches, counts, model).collect()}
+    count_of = Counter(t for k, text in enumerate(texts) if k % 5 != 1 for t in [*text.split(), None])
+    for k in (0, 1, 2, 6, 11):
+        tokens, expected = [False, False, *texts[k].split(), None], 0.0
+        for at in range(2, len(tokens)):
+            expected += plain_probabilities(model, tokens[at - 2 : at], count_of, [tokens[at]])[0][tokens[at]]
+        assert abs(got[k] - expected / math.log(10)) < 1e-3 * max(1, abs(got[k]) / 100)
+    for before in ([False, False], ["w1", "w2"], ["w399", "unseen"]):
+        known, unseen = plain_probabilities(model, before, count_of, count_of)
+        assert abs(sum(map(math.exp, known.values())) + unseen - 1) < 1e-5
