@@ -2,7 +2,8 @@
 
 A token is predicted from its class and then within its class, both by a softmax over sums of hashed weight
 rows: one for the word before (n-gram), one for the two words before together, and one for the word before
-that alone (skip). Every word counts as itself in the features, by its hash. The commonest words of the training texts are
+that alone (skip). Every word counts as itself there, by its hash; only in the feature of two words together an uncommon one
+counts by its class. The commonest words of the training texts are
 in classes of equal size by frequency; all others are dealt by hash to further classes, within which a word has its smoothed
 relative frequency. The probabilities of all words that training saw, and of one unseen word in each of the further
 classes, add up to one.
@@ -90,9 +91,14 @@ class Model:
         further = len(self.class_bias) - tails + (word % np.uint64(tails)).astype(np.int64)
         return np.where(rank < self.tail, rank // CLASS_WORDS, further)
 
-    def forward(self, rank: np.ndarray, word: np.ndarray, one: np.ndarray, two: np.ndarray):
+    def contexts(self, rank: np.ndarray, word: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """For each token the word before it and the one before that, and both once more with classes for uncommon words."""
+        kind = np.where(rank < self.tail, word, NONE + np.uint64(1) + self.groups(rank, word).astype(np.uint64))
+        return np.stack([*before(word, first), *before(kind, first)])
+
+    def forward(self, rank: np.ndarray, word: np.ndarray, context: np.ndarray):
         """(class, class rows, log class probabilities, common tokens, place, word rows, log word probabilities)."""
-        hashes = features(one, two)
+        hashes = features(context)
         group = self.groups(rank, word)
         rows = _rows(hashes, 0xD6E8FEB86659FD93, len(self.class_weights))
         scores = self.class_bias + sum(self.class_weights[r] for r in rows)
@@ -105,10 +111,10 @@ class Model:
     def log_probabilities(self, rank: np.ndarray, word: np.ndarray, count: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural logarithms of the tokens' probabilities; counts matter for uncommon words."""
         out = np.empty(len(rank))
-        one, two = before(word, first)
+        context = self.contexts(rank, word, first)
         for a in range(0, len(rank), STEP_TOKENS):
             part = slice(a, a + STEP_TOKENS)
-            group, _, by_class, inner, place, _, by_word = self.forward(rank[part], word[part], one[part], two[part])
+            group, _, by_class, inner, place, _, by_word = self.forward(rank[part], word[part], context[:, part])
             value = by_class[np.arange(len(group)), group].astype(float)
             value[inner] += by_word[np.arange(len(inner)), place]
             rare = rank[part] >= self.tail
@@ -119,10 +125,10 @@ class Model:
 
     def train(self, rank: np.ndarray, word: np.ndarray, first: np.ndarray, state: dict) -> None:
         """One pass of steps over the tokens of a batch. Rates fall with a row's own squared gradients."""
-        one, two = before(word, first)
+        context = self.contexts(rank, word, first)
         for a in range(0, len(rank), STEP_TOKENS):
             part = slice(a, a + STEP_TOKENS)
-            group, rows, by_class, inner, place, word_rows, by_word = self.forward(rank[part], word[part], one[part], two[part])
+            group, rows, by_class, inner, place, word_rows, by_word = self.forward(rank[part], word[part], context[:, part])
             error = np.exp(by_class)
             error[np.arange(len(group)), group] -= 1
             word_error = np.exp(by_word)
@@ -144,11 +150,12 @@ def before(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return one, two
 
 
-def features(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+def features(context: np.ndarray) -> np.ndarray:
     """Hashes of a token's features: the word before, the two before together, the second one alone."""
     mix = np.uint64(0x9E3779B97F4A7C15)
     three = np.uint64(3)
-    codes = [one * three + np.uint64(1), (one * np.uint64(0xC2B2AE3D27D4EB4F) + two) * three + np.uint64(2), two * three]
+    one, two, near, far = context
+    codes = [one * three + np.uint64(1), (near * np.uint64(0xC2B2AE3D27D4EB4F) + far) * three + np.uint64(2), two * three]
     out = np.stack([c * mix for c in codes])
     return out ^ (out >> np.uint64(29))
 

@@ -290,9 +290,14 @@ def test_pipeline_stages_keep_their_columns(spark, tmp_path):
 def plain_probabilities(model, before, count_of, vocabulary):
     """Log probabilities of all words after the two words ``before``, by plain loops over the model's weights."""
     whole, none = 2**64, 1 << 32
-    hashed = [none if w is False else zlib.crc32(b"\n" if w is None else w.encode()) for w in before]
-    two, one = hashed
-    codes = [one * 3 + 1, (one * 0xC2B2AE3D27D4EB4F + two) * 3 + 2, two * 3]
+    two, one = hashed = [none if w is False else zlib.crc32(b"\n" if w is None else w.encode()) for w in before]
+    tails = len(model.tail_mass)
+    common = {"\n" if w is None else w for w in before} & set(model.common)
+    far, near = [
+        h if w is False or ("\n" if w is None else w) in common else none + 1 + len(model.class_bias) - tails + h % tails
+        for w, h in zip(before, hashed)
+    ]
+    codes = [one * 3 + 1, (near * 0xC2B2AE3D27D4EB4F + far) * 3 + 2, two * 3]
     codes = [c % whole * 0x9E3779B97F4A7C15 % whole for c in codes]
     codes = [c ^ (c >> 29) for c in codes]
 
