@@ -4,25 +4,24 @@ A token is predicted from its class and then within its class, both by a softmax
 rows: one for the word before (n-gram), one for the two words before together, and one for the word before
 that alone (skip). Every word counts as itself there, by its hash; only in the feature of two words together an uncommon one
 counts by its class. The commonest words of the training texts are
-in classes of equal size by frequency; all others are dealt by hash to further classes, within which a word has its smoothed
-relative frequency. The probabilities of all words that training saw, and of one unseen word in each of the further
-classes, add up to one.
+in classes of equal size by frequency; all others are one class more, which a tree of equal branches, picked by the hash of
+the word, cuts into leaves: each node of the tree is a softmax of its own, and within a leaf a word has its smoothed
+relative frequency. The probabilities of all words that training saw, and of one unseen word in each leaf, add up to one.
 
 Texts are cut once into a table of batches: token codes of some hundred texts and the distinct words of them.
 Counts are exact and by word; they come back to the batches by a join on words. Training goes over all
 training tokens: in each round every task makes gradient steps from the common model on its share, and the changes
 are averaged row by row, weighed by how often a row was used. Sums go up a tree of bounded groups. The
-further classes grow with the square root of the counted vocabulary, the rows with its fourth root, so a vocabulary of
-10^8 words makes a model of some 40 MB.
+leaves grow with the counted vocabulary, at a cost per token of its logarithm, the rows with its fourth root, so a vocabulary of
+10^8 words makes a model of some 20 MB.
 
-Defined cases: a null text is an empty one, which has one token, its end; without training texts all tokens are
-the unseen word with probability one; repeated rows count and score each for itself; an empty table gives no
+Defined cases: a null text is an empty one, which has one token, its end; without training texts all
+leaves, and the unseen words in them, are equally likely; repeated rows count and score each for itself; an empty table gives no
 rows. Long texts are a batch of their own.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -44,9 +43,9 @@ from deckspark.session import shared_dir
 CLASSES, CLASS_WORDS = 32, 32
 #: Bits of the number of rows of hashed weights, for classes and for words within them, of a vocabulary of 2^16 words or
 #: fewer; one more for each further factor of 16.
-CLASS_BITS, WORD_BITS, BASE_BITS = 12, 13, 16
-#: There is a class of uncommon words for each 16 of the square root of the vocabulary.
-TAIL_SHARE = 16
+CLASS_BITS, WORD_BITS, BASE_BITS = 12, 14, 16
+#: The tree of uncommon words has one level for vocabularies below 2^24 words, one more for each further factor of 2^10.
+FIRST_BITS, LEVEL_BITS = 24, 10
 FEATURES = 3
 #: Context of a word that is not there; hashes of words are below. The end of a text counts as a word of its own.
 NONE, END = np.uint64(1 << 32), b"\n"
@@ -55,21 +54,28 @@ ROUNDS = 2
 #: Text of one batch. Larger batches have fewer distinct words in all, which is what travels to be counted.
 BATCH_BYTES = 8 << 20
 STEP_TOKENS, RATE = 4096, 0.2
+#: Highest score of a softmax, so that its exponentials stay finite; biases are logarithms of probabilities.
+HIGHEST = 60.0
+#: Tokens of one row of weights that are added one after the other for all rows at once.
+TURNS = 6
 #: Parts of a model that are added up apart, and rows that one task adds up.
 SEGMENTS, FAN_IN = 16, 16
 
 
 @dataclass
 class Model:
-    """Weights of the class softmax (common classes first) and of the softmax within classes of common words."""
+    """Weights of the class softmax and of the softmax in each node: the classes of common words, then the tree.
+
+    ``class_bias`` has the classes of common words and, last, all others; ``node_bias`` a row per node.
+    """
 
     common: list[str]
     end_rank: int
     class_bias: np.ndarray
-    word_bias: np.ndarray
+    node_bias: np.ndarray
     class_weights: np.ndarray
-    word_weights: np.ndarray
-    tail_mass: np.ndarray
+    node_weights: np.ndarray
+    leaf_mass: np.ndarray
     total: int
     distinct: int
     end_count: int
@@ -85,42 +91,51 @@ class Model:
         texts = vocabulary.cast(pa.binary()).to_pylist()
         return rank.astype(np.int64), np.array([*map(zlib.crc32, texts), zlib.crc32(END)], np.uint64)
 
-    def groups(self, rank: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Class of each token, from its rank and its hash."""
-        tails = len(self.tail_mass)
-        further = len(self.class_bias) - tails + (word % np.uint64(tails)).astype(np.int64)
-        return np.where(rank < self.tail, rank // CLASS_WORDS, further)
+    def leaves(self, word: np.ndarray) -> np.ndarray:
+        return (word % np.uint64(len(self.leaf_mass))).astype(np.int64)
 
     def contexts(self, rank: np.ndarray, word: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """For each token the word before it and the one before that, and both once more with classes for uncommon words."""
-        kind = np.where(rank < self.tail, word, NONE + np.uint64(1) + self.groups(rank, word).astype(np.uint64))
+        """For each token the word before it and the one before that, and both once more with leaves for uncommon words."""
+        kind = np.where(rank < self.tail, word, NONE + np.uint64(1) + self.leaves(word).astype(np.uint64))
         return np.stack([*before(word, first), *before(kind, first)])
 
-    def forward(self, rank: np.ndarray, word: np.ndarray, context: np.ndarray):
-        """(class, class rows, log class probabilities, common tokens, place, word rows, log word probabilities)."""
+    def choices(self, rank: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(tokens, node, branch) by level: common words choose once, in their class, others on each level of the tree."""
+        common = rank < self.tail
+        heads = len(self.class_bias) - 1
+        leaf, width = self.leaves(word), len(self.leaf_mass) // CLASS_WORDS
+        node = np.where(common, rank // CLASS_WORDS, heads)
+        yield np.arange(len(rank)), node, np.where(common, rank % CLASS_WORDS, leaf // width)
+        rare, level, nodes = np.flatnonzero(~common), 1, 1
+        while width > 1:
+            above = leaf[rare] // width
+            width //= CLASS_WORDS
+            yield rare, heads + nodes + above, leaf[rare] // width % CLASS_WORDS
+            level *= CLASS_WORDS
+            nodes += level
+
+    def predictions(self, rank: np.ndarray, word: np.ndarray, context: np.ndarray):
+        """(which weights, tokens, choice made, rows, probabilities) for classes, then for each level of nodes."""
         hashes = features(context)
-        group = self.groups(rank, word)
         rows = _rows(hashes, 0xD6E8FEB86659FD93, len(self.class_weights))
-        scores = self.class_bias + sum(self.class_weights[r] for r in rows)
-        inner = np.flatnonzero(rank < self.tail)
-        own = group[inner]
-        word_rows = _rows(hashes[:, inner] + own.astype(np.uint64), 0xA0761D6478BD642F, len(self.word_weights))
-        word_scores = self.word_bias[own] + sum(self.word_weights[r] for r in word_rows)
-        return group, rows, _log_softmax(scores), inner, rank[inner] % CLASS_WORDS, word_rows, _log_softmax(word_scores)
+        group = np.where(rank < self.tail, rank // CLASS_WORDS, len(self.class_bias) - 1)
+        yield "class", np.arange(len(rank)), group, rows, _softmax(self.class_bias, self.class_weights, rows)
+        for tokens, node, branch in self.choices(rank, word):
+            if len(tokens):
+                rows = _rows(hashes[:, tokens] + node.astype(np.uint64), 0xA0761D6478BD642F, len(self.node_weights))
+                yield "node", tokens, branch, rows, _softmax(self.node_bias.take(node, 0), self.node_weights, rows)
 
     def log_probabilities(self, rank: np.ndarray, word: np.ndarray, count: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural logarithms of the tokens' probabilities; counts matter for uncommon words."""
-        out = np.empty(len(rank))
+        rare = np.flatnonzero(rank >= self.tail)
+        out = np.zeros(len(rank))
+        out[rare] = np.log((count[rare] + 0.5) / self.leaf_mass[self.leaves(word[rare])])
         context = self.contexts(rank, word, first)
         for a in range(0, len(rank), STEP_TOKENS):
             part = slice(a, a + STEP_TOKENS)
-            group, _, by_class, inner, place, _, by_word = self.forward(rank[part], word[part], context[:, part])
-            value = by_class[np.arange(len(group)), group].astype(float)
-            value[inner] += by_word[np.arange(len(inner)), place]
-            rare = rank[part] >= self.tail
-            mass = self.tail_mass[group[rare] - (len(self.class_bias) - len(self.tail_mass))]
-            value[rare] += np.log((count[part][rare] + 0.5) / mass)
-            out[part] = value
+            for _, tokens, choice, _, chances in self.predictions(rank[part], word[part], context[:, part]):
+                chance = chances[np.arange(len(tokens)), choice].astype(float)
+                out[a + tokens] += np.log(np.maximum(chance, 1e-38))
         return out
 
     def train(self, rank: np.ndarray, word: np.ndarray, first: np.ndarray, state: dict) -> None:
@@ -128,15 +143,10 @@ class Model:
         context = self.contexts(rank, word, first)
         for a in range(0, len(rank), STEP_TOKENS):
             part = slice(a, a + STEP_TOKENS)
-            group, rows, by_class, inner, place, word_rows, by_word = self.forward(rank[part], word[part], context[:, part])
-            error = np.exp(by_class)
-            error[np.arange(len(group)), group] -= 1
-            word_error = np.exp(by_word)
-            word_error[np.arange(len(inner)), place] -= 1
-            for f in range(FEATURES):
-                _step(self.class_weights, state["class"], state["class_used"], rows[f], error)
-                if len(inner):
-                    _step(self.word_weights, state["word"], state["word_used"], word_rows[f], word_error)
+            for name, tokens, choice, rows, error in self.predictions(rank[part], word[part], context[:, part]):
+                error[np.arange(len(tokens)), choice] -= 1
+                weights = self.class_weights if name == "class" else self.node_weights
+                _step(weights, state[name], state[f"{name}_used"], rows, error)
 
 
 def before(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,20 +175,48 @@ def _rows(hashes: np.ndarray, factor: int, rows: int) -> np.ndarray:
     return ((hashes * np.uint64(factor)) >> np.uint64(65 - rows.bit_length())).astype(np.int64)
 
 
-def _log_softmax(scores: np.ndarray) -> np.ndarray:
-    scores = scores - scores.max(1, keepdims=True)
-    return scores - np.log(np.exp(scores).sum(1, keepdims=True))
+def _softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    scores = weights.take(rows[0], 0)
+    for r in rows[1:]:
+        scores += weights.take(r, 0)
+    scores += bias
+    np.minimum(scores, HIGHEST, out=scores)
+    np.exp(scores, out=scores)
+    scores /= np.einsum("ij->i", scores)[:, None]
+    return scores
 
 
 def _step(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.ndarray, error: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
+    """One gradient step on the rows of all features together; a row that stands in several features gets their sum."""
+    flat = rows.ravel()
+    # Small numbers are sorted by their digits.
+    order = np.argsort(flat.astype(np.uint16) if len(weights) <= 1 << 16 else flat, kind="stable")
+    ordered = flat[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    gradient = np.add.reduceat(error[order], starts)
+    sizes = np.diff(np.append(starts, len(flat)))
+    gradient = _sums(error, order % len(error), starts, sizes)
     hit = ordered[starts]
-    squares[hit] += (gradient * gradient).mean(1)
-    used[hit] += np.diff(np.append(starts, len(rows)))
-    weights[hit] -= (RATE / np.sqrt(squares[hit] + 1e-6))[:, None] * gradient
+    squares[hit] += np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
+    used[hit] += sizes
+    gradient *= (RATE / np.sqrt(squares[hit] + 1e-6))[:, None]
+    weights[hit] -= gradient
+
+
+def _sums(values: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``order`` of each run. Most runs are short: they go turn by turn, what is left of the long ones run by run."""
+    total = values.take(order[starts], 0)
+    for turn in range(1, TURNS):
+        more = np.flatnonzero(sizes > turn)
+        if not len(more):
+            return total
+        total[more] += values.take(order[starts[more] + turn], 0)
+    long = np.flatnonzero(sizes > TURNS)
+    if len(long):
+        left = sizes[long] - TURNS
+        ends = np.cumsum(left)
+        places = np.arange(ends[-1]) + np.repeat(starts[long] + TURNS - (ends - left), left)
+        total[long] += np.add.reduceat(values.take(order[places], 0), ends - left)
+    return total
 
 
 def batch_table(docs: DataFrame, doc_id: str, text: str, training: str) -> DataFrame:
@@ -257,29 +295,32 @@ def start_model(counts: DataFrame, training_docs: int) -> Model:
     by_class = padded.reshape(n_classes, CLASS_WORDS)
     total, distinct = sums[1] + training_docs, sums[0] + bool(training_docs)
 
-    # The classes of the other words: all words by class, without the common ones. Each class has one unseen word.
-    tails = max(1, math.isqrt(distinct) // TAIL_SHARE)
-    tail_mass = np.full(tails, 0.5)
-    dealt = counts.groupBy((F.crc32(F.col("word").cast("binary")) % tails).alias("k")).agg(F.sum("c"), F.count("*"))
+    # The leaves of the other words: all words by leaf, without the common ones. Each leaf has one unseen word.
+    levels = 1 + max(0, distinct.bit_length() - 1 - FIRST_BITS + LEVEL_BITS) // LEVEL_BITS
+    leaves = CLASS_WORDS**levels
+    leaf_mass = np.full(leaves, 0.5)
+    dealt = counts.groupBy((F.crc32(F.col("word").cast("binary")) % leaves).alias("k")).agg(F.sum("c"), F.count("*"))
     for k, words_of, distinct_of in dealt.collect():
-        tail_mass[k] += words_of + 0.5 * distinct_of
+        leaf_mass[k] += words_of + 0.5 * distinct_of
     for word, c in end:
-        tail_mass[zlib.crc32(END) % tails] += c + 0.5
+        leaf_mass[zlib.crc32(END) % leaves] += c + 0.5
     for word, c in ranked:
-        tail_mass[zlib.crc32(END if word is None else word.encode()) % tails] -= c + 0.5
+        leaf_mass[zlib.crc32(END if word is None else word.encode()) % leaves] -= c + 0.5
 
-    mass = np.append(by_class.sum(1), tail_mass)
+    mass = np.append(by_class.sum(1), leaf_mass.sum())
+    nodes = [by_class, *(leaf_mass.reshape(CLASS_WORDS ** (k + 1), -1).sum(1).reshape(-1, CLASS_WORDS) for k in range(levels))]
+    by_node = np.concatenate(nodes)
     with np.errstate(divide="ignore"):
-        word_bias = np.log(by_class) - np.log(np.maximum(1e-30, by_class.sum(1, keepdims=True)))
+        node_bias = np.log(by_node) - np.log(np.maximum(1e-30, by_node.sum(1, keepdims=True)))
     more = max(0, distinct.bit_length() - 1 - BASE_BITS) // 4
     return Model(
         ["\n" if r[0] is None else r[0] for r in ranked],
         next((k for k, r in enumerate(ranked) if r[0] is None), -1),
         np.log(mass / mass.sum()).astype(np.float32),
-        np.maximum(word_bias, -1e9).astype(np.float32),
-        np.zeros((1 << CLASS_BITS + more, n_classes + tails), np.float32),
+        np.maximum(node_bias, -1e9).astype(np.float32),
+        np.zeros((1 << CLASS_BITS + more, n_classes + 1), np.float32),
         np.zeros((1 << WORD_BITS + more, CLASS_WORDS), np.float32),
-        tail_mass,
+        leaf_mass,
         int(total),
         int(distinct),
         int(training_docs),
@@ -294,14 +335,14 @@ def train_round(batches: DataFrame, model: Model, share: int, shares: int) -> Mo
 
     def learn(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        start = (own.class_weights.copy(), own.word_weights.copy())
+        start = (own.class_weights.copy(), own.node_weights.copy())
         # An own copy: the broadcast value is shared by the tasks of a worker.
-        local = Model(**{**own.__dict__, "class_weights": start[0].copy(), "word_weights": start[1].copy()})
+        local = Model(**{**own.__dict__, "class_weights": start[0].copy(), "node_weights": start[1].copy()})
         state = {
             "class": np.zeros(len(start[0]), np.float32),
             "class_used": np.zeros(len(start[0])),
-            "word": np.zeros(len(start[1]), np.float32),
-            "word_used": np.zeros(len(start[1])),
+            "node": np.zeros(len(start[1]), np.float32),
+            "node_used": np.zeros(len(start[1])),
         }
         for frame in frames:
             for k in range(frame.num_rows):
@@ -318,7 +359,7 @@ def train_round(batches: DataFrame, model: Model, share: int, shares: int) -> Mo
         changes = []
         for name, before, after in (
             ("class", start[0], local.class_weights),
-            ("word", start[1], local.word_weights),
+            ("node", start[1], local.node_weights),
         ):
             used = state[f"{name}_used"]
             changes.append(np.concatenate([(after - before) * used[:, None], used[:, None]], axis=1).ravel())
@@ -350,7 +391,7 @@ def train_round(batches: DataFrame, model: Model, share: int, shares: int) -> Mo
     parts = (flat[:border].reshape(-1, width), flat[border:].reshape(-1, CLASS_WORDS + 1))
     moved = [(p[:, :-1] / np.maximum(1, p[:, -1:])).astype(np.float32) for p in parts]
     return Model(
-        **{**model.__dict__, "class_weights": model.class_weights + moved[0], "word_weights": model.word_weights + moved[1]}
+        **{**model.__dict__, "class_weights": model.class_weights + moved[0], "node_weights": model.node_weights + moved[1]}
     )
 
 

@@ -291,10 +291,10 @@ def plain_probabilities(model, before, count_of, vocabulary):
     """Log probabilities of all words after the two words ``before``, by plain loops over the model's weights."""
     whole, none = 2**64, 1 << 32
     two, one = hashed = [none if w is False else zlib.crc32(b"\n" if w is None else w.encode()) for w in before]
-    tails = len(model.tail_mass)
+    leaves, heads = len(model.leaf_mass), len(model.class_bias) - 1
     common = {"\n" if w is None else w for w in before} & set(model.common)
     far, near = [
-        h if w is False or ("\n" if w is None else w) in common else none + 1 + len(model.class_bias) - tails + h % tails
+        h if w is False or ("\n" if w is None else w) in common else none + 1 + h % leaves
         for w, h in zip(before, hashed)
     ]
     codes = [one * 3 + 1, (near * 0xC2B2AE3D27D4EB4F + far) * 3 + 2, two * 3]
@@ -312,31 +312,50 @@ def plain_probabilities(model, before, count_of, vocabulary):
         return [(c + shift) % whole * factor % whole >> (64 - bits) for c in codes]
 
     classes = softmax(model.class_bias, model.class_weights, rows(model.class_weights, 0xD6E8FEB86659FD93, 0))
-    heads = len(classes) - len(model.tail_mass)
     rank = {None if w == "\n" else w: k for k, w in enumerate(model.common)}
     out = {}
+    nodes = {}
+
+    def branch(node, place):
+        if node not in nodes:
+            nodes[node] = softmax(model.node_bias[node], model.node_weights, rows(model.node_weights, 0xA0761D6478BD642F, node))
+        return nodes[node][place]
+
+    def leaf(k):
+        """Down the tree, digit by digit of the leaf's number; nodes are numbered level by level."""
+        chance, node, width, path = classes[heads], heads, leaves, 0
+        nodes_of = 1
+        while width > 1:
+            width //= maxent.CLASS_WORDS
+            place = k // width % maxent.CLASS_WORDS
+            chance += branch(node + path, place)
+            path = path * maxent.CLASS_WORDS + place
+            node += nodes_of
+            nodes_of *= maxent.CLASS_WORDS
+        return chance
+
     for word in vocabulary:
         if word in rank:
             group, place = divmod(rank[word], maxent.CLASS_WORDS)
-            inner = softmax(model.word_bias[group], model.word_weights, rows(model.word_weights, 0xA0761D6478BD642F, group))
-            out[word] = classes[group] + inner[place]
+            out[word] = classes[group] + branch(group, place)
         else:
-            k = zlib.crc32(b"\n" if word is None else word.encode()) % len(model.tail_mass)
-            out[word] = classes[heads + k] + math.log((count_of.get(word, 0) + 0.5) / model.tail_mass[k])
-    return out, sum(math.exp(classes[heads + k]) * 0.5 / m for k, m in enumerate(model.tail_mass))
+            k = zlib.crc32(b"\n" if word is None else word.encode()) % leaves
+            out[word] = leaf(k) + math.log((count_of.get(word, 0) + 0.5) / model.leaf_mass[k])
+    return out, sum(math.exp(leaf(k)) * 0.5 / m for k, m in enumerate(model.leaf_mass))
 
 
 def test_scores_are_those_of_the_model(spark, monkeypatch):
-    """Small classes, so that most words are uncommon: each still has features and a class of its own choice."""
+    """Few classes, so that most words are uncommon: each still has features, and a leaf in a tree of two levels."""
     monkeypatch.setattr(maxent, "CLASSES", 3)
-    monkeypatch.setattr(maxent, "TAIL_SHARE", 4)
+    monkeypatch.setattr(maxent, "FIRST_BITS", 4)
+    monkeypatch.setattr(maxent, "LEVEL_BITS", 5)
     rng = random.Random(3)
     texts = [" ".join(f"w{min(rng.randrange(1, 400), rng.randrange(1, 400))}" for _ in range(rng.randrange(60))) for _ in range(120)]
     docs = spark.createDataFrame([(k, t, k % 5 != 1) for k, t in enumerate(texts)], "doc_id int, text string, training boolean")
     batches = maxent.batch_table(docs, "doc_id", "text", "training")
     counts = maxent.word_counts(batches)
     model = maxent.fit(batches, counts)
-    assert len(model.common) == 96 and len(model.tail_mass) > 3 and model.class_weights[:, -1].any()
+    assert len(model.common) == 96 and len(model.leaf_mass) == 32**2 and model.class_weights[:, -1].any()
     got = {r["doc_id"]: r["score"] for r in maxent.score_batches(batches, counts, model).collect()}
     count_of = Counter(t for k, text in enumerate(texts) if k % 5 != 1 for t in [*text.split(), None])
     for k in (0, 1, 2, 6, 11):
