@@ -255,9 +255,7 @@ def batch_table(docs: DataFrame, doc_id: str, text: str, training: str) -> DataF
                 )
                 number += 1
 
-    path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    rows.mapInArrow(tokenise, BATCH).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return stored(rows.mapInArrow(tokenise, BATCH), "tokens")
 
 
 BATCH = (
@@ -267,6 +265,13 @@ BATCH = (
 BATCH_NAMES = [c.strip().split(" ")[0] for c in BATCH.split(",")]
 
 
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """A frame written to the shared folder as a packed table, which takes much less disk than a checkpoint, and read again."""
+    path = f"{shared_dir(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def unpacked(low: pa.Scalar, high: pa.Scalar) -> np.ndarray:
     """Token codes from their low and high 16 bits, of which the latter are mostly zero and pack well."""
     codes = np.frombuffer(low.as_py(), "<u2").astype(np.int64)
@@ -278,7 +283,7 @@ def word_counts(batches: DataFrame) -> DataFrame:
     """(word, c): how often each word stands in training texts; only words that do."""
     each = batches.select(F.explode(F.arrays_zip("words", "seen")).alias("w")).select("w.words", "w.seen")
     counted = each.filter("seen > 0").groupBy(F.col("words").alias("word")).agg(F.sum("seen").alias("c"))
-    return cut(counted)
+    return stored(counted, "counts")
 
 
 def start_model(counts: DataFrame, training_docs: int) -> Model:
