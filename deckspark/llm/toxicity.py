@@ -1,12 +1,14 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier.
 
 Voters are lexicons (fixed ones, and words that the labelled training rows associate with toxic
-texts, counted over all of them and dealt to several lexicons) and patterns of the whole text. A voter fires or not. The label model
-is a two-class mixture over the votes: it is fitted by expectation maximisation on the counts of vote
+texts, counted over all of them and dealt to several lexicons) and patterns of the whole text. A voter fires or not; one of
+learned words goes by their log odds per word of the text, as any long text holds some of them, and fires above what nearly all
+texts labelled clean have. The label model is a two-class mixture over the votes: it is fitted by expectation maximisation on the counts of vote
 patterns of all texts, of which there are at most 2^voters, with the labelled training rows held to their
 class. It starts with independent voters, finds pairs whose votes are correlated within the classes,
-and refits with joint tables for them. Its posterior labels a bounded sample of rows, on which a
-logistic classifier over hashed words and votes is trained; that classifier scores every text.
+and refits with joint tables for them. Its posterior, or the label where there is one, is the target of a bounded sample of
+rows, on which a logistic classifier over hashed words, votes and the learned words' odds per word is trained; that
+classifier scores every text.
 
 Defined cases: null and empty texts cast no vote and get the classifier's bias; a label that repeats for an id counts
 as toxic if one of them is; null labels do not count; without any label the fixed voters alone
@@ -37,6 +39,12 @@ LEXICONS = {
 }
 #: Lexicons that share the words learned from labels, and the least z-score of such a word.
 LEARNED, LEAST_Z = 4, 4.5
+#: Log odds per word are counted in such steps, up to a most; a text has so many words more, so that one word says little.
+RATE_STEP, MOST_STEPS, MORE_WORDS = 1 / 4096, 1 << 14, 5
+#: Share of the texts labelled clean in which a lexicon of learned words does not fire.
+LEFT_ALONE = 0.95
+#: Scale of the odds per word as a feature of the classifier, and its highest value.
+RATE_SCALE, HIGHEST_RATE = 10.0, 10.0
 #: Least size of the z-score of a hashed word for the classifier to use it.
 SLOT_Z = 3.0
 PATTERNS = ("shouting", "exclaiming", "repeating")
@@ -52,22 +60,36 @@ CORRELATED = 0.15
 
 @dataclass
 class Voters:
+    """Lexicons; the last ones, of learned words, have log odds, and steps of odds per word above which they fire."""
+
     lexicons: list[np.ndarray] = field(default_factory=list)
+    odds: list[np.ndarray] = field(default_factory=list)
+    cuts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
 
     @property
     def number(self) -> int:
         return len(self.lexicons) + len(PATTERNS)
 
-    def votes(self, part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(votes of each text as a row of 0 and 1, owner and hash of each word)."""
+    def votes(self, part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(votes of each text as a row of 0 and 1, its steps of odds per word by learned lexicon and in all, owner and hash of each word)."""
         own = words(part, ALPHANUMERIC)
         hashes = own.hashes()
         n = len(part)
         out = np.zeros((n, self.number), np.uint8)
+        fixed = len(self.lexicons) - len(self.odds)
+        rates = np.zeros((n, len(self.odds) + 1))
+        more = 1 / (np.bincount(own.doc, minlength=n) + MORE_WORDS)
         for k, lexicon in enumerate(self.lexicons):
             if len(lexicon):
                 at = np.minimum(np.searchsorted(lexicon, hashes), len(lexicon) - 1)
-                out[own.doc[lexicon[at] == hashes], k] = 1
+                hit = np.flatnonzero(lexicon[at] == hashes)
+                if k < fixed:
+                    out[own.doc[hit], k] = 1
+                else:
+                    rates[:, k - fixed] = np.bincount(own.doc[hit], self.odds[k - fixed][at[hit]], minlength=n) * more
+        rates[:, -1] = rates.sum(1)
+        steps = np.minimum(rates / RATE_STEP, MOST_STEPS).astype(np.int64)
+        out[:, fixed : len(self.lexicons)] = steps[:, :-1] > self.cuts
         size = np.maximum(1, np.diff(part.ends))
         border = part.ends
 
@@ -85,7 +107,7 @@ class Voters:
         out[:, -3] = upper > 0.3 * size
         out[:, -2] = marks > 0.01 * size
         out[:, -1] = repeated > 0.02 * np.maximum(counts, 50)
-        return out, own.doc, hashes
+        return out, steps, own.doc, hashes
 
 
 def hashed(text: str) -> np.ndarray:
@@ -107,6 +129,17 @@ def association(values: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray
     return names, odds / np.sqrt(1 / bad + 1 / (n_bad - bad) + 1 / good + 1 / (n_good - good))
 
 
+def _cuts(clean: DataFrame, parts: list[str]) -> np.ndarray:
+    """For each part the steps that all but a share of the clean texts stay within; there are at most as many counts as steps."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.col(p).alias("steps")) for k, p in enumerate(parts)]))
+    counted = clean.select(pairs.alias("s")).groupBy("s.part", "s.steps").count().collect()
+    cuts = np.full(len(parts), MOST_STEPS)
+    for k in range(len(parts)):
+        steps, counts = np.array(sorted((r[1], r[2]) for r in counted if r[0] == k) or [(MOST_STEPS, 1)]).T
+        cuts[k] = steps[np.searchsorted(np.cumsum(counts), LEFT_ALONE * counts.sum())]
+    return cuts
+
+
 @dataclass
 class LabelModel:
     """Two classes; voters in groups, each with a table of its joint votes in each class."""
@@ -182,7 +215,14 @@ def _texts_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFr
 
 
 def learned_words(docs: DataFrame, known: DataFrame, doc_id: str, text: str, most: int = LEXICON_WORDS) -> np.ndarray:
-    """Sorted hashes of the words that go with toxic texts, counted over all texts with a label.
+    """Sorted hashes of the words that go with toxic texts, counted over all texts with a label; see ``learned_odds``."""
+    return learned_odds(docs, known, doc_id, text, most)[0]
+
+
+def learned_odds(
+    docs: DataFrame, known: DataFrame, doc_id: str, text: str, most: int = LEXICON_WORDS
+) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words that go with toxic texts, and the logarithms of their odds ratios, over all texts with a label.
 
     ``known`` has (doc_id, value), unique by id. A row that repeats an id is no further text.
     """
@@ -191,7 +231,7 @@ def learned_words(docs: DataFrame, known: DataFrame, doc_id: str, text: str, mos
     present = cut(known.join(numbers, "doc_id"))
     sizes = {r[0]: r[1] for r in present.groupBy(F.col("value") > 0).count().collect()}
     if len(sizes) < 2:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0)
     alone = present.filter("rows = 1").drop("rows")  # has no hot key, so the texts need not be stored
     side = F.broadcast(alone) if fits_broadcast(alone) else alone
     labelled = rows.join(side, "doc_id").select("value", "text")
@@ -222,9 +262,11 @@ def learned_words(docs: DataFrame, known: DataFrame, doc_id: str, text: str, mos
     bad, good, n_bad, n_good = F.col("bad"), F.col("good"), F.lit(sizes[True] + 1.0), F.lit(sizes[False] + 1.0)
     odds = F.log(bad / (n_bad - bad)) - F.log(good / (n_good - good))
     z = odds / F.sqrt(1 / bad + 1 / (n_bad - bad) + 1 / good + 1 / (n_good - good))
-    best = sums.select("word", z.alias("z")).filter(F.col("z") > LEAST_Z).orderBy(F.desc("z"), "word").limit(most)
-    found = best.select("word").toArrow()["word"].to_numpy()
-    return np.sort(found.astype(np.int64).view(np.uint64))
+    best = sums.select("word", odds.alias("odds"), z.alias("z")).filter(F.col("z") > LEAST_Z).orderBy(F.desc("z"), "word").limit(most)
+    found = best.select("word", "odds").toArrow()
+    hashes = found["word"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found["odds"].to_numpy()[order]
 
 
 def _smallest(rows: DataFrame, by: str, most: int) -> DataFrame:
@@ -237,12 +279,12 @@ def _smallest(rows: DataFrame, by: str, most: int) -> DataFrame:
 
 
 def _collected(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, voters: Voters) -> list:
-    """(value, votes, distinct word hashes) of a bounded set of texts; ``ids`` has (doc_id, value)."""
+    """(value, votes, distinct word hashes, steps of odds) of a bounded set of texts; ``ids`` has (doc_id, value)."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(1)):
-                votes, owner, hashes = voters.votes(part)
+                votes, steps, owner, hashes = voters.votes(part)
                 border = np.searchsorted(owner, np.arange(len(part) + 1))
                 sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(border[:-1], border[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -250,13 +292,18 @@ def _collected(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, voters:
                         batch.column(0).slice(part.first, len(part)),
                         pa.array([v.tobytes() for v in votes], pa.binary()),
                         pa.array(sets, pa.binary()),
+                        pa.array(steps[:, -1]),
                     ],
-                    ["value", "votes", "words"],
+                    ["value", "votes", "words", "steps"],
                 )
 
     frame = _texts_of(docs, ids, doc_id, text).select("value", "text")
-    rows = frame.mapInArrow(take, "value double, votes binary, words binary").collect()
-    return sorted((r[0], bytes(r[1]), bytes(r[2])) for r in rows)
+    rows = frame.mapInArrow(take, "value double, votes binary, words binary, steps bigint").collect()
+    return sorted((r[0], bytes(r[1]), bytes(r[2]), r[3]) for r in rows)
+
+
+def rate_feature(steps: np.ndarray) -> np.ndarray:
+    return np.minimum(steps * (RATE_STEP * RATE_SCALE), HIGHEST_RATE)
 
 
 @dataclass
@@ -267,10 +314,10 @@ class ToxicityModel:
     bias: float
 
     def score(self, part: Slice) -> np.ndarray:
-        votes, owner, hashes = self.voters.votes(part)
+        votes, steps, owner, hashes = self.voters.votes(part)
         slots = np.unique(owner.astype(np.int64) * SLOTS + (hashes >> _SPAN).astype(np.int64))
         total = np.bincount(slots // SLOTS, self.weights[slots % SLOTS], minlength=len(part))
-        total = total + votes @ self.weights[SLOTS:] + self.bias
+        total = total + votes @ self.weights[SLOTS:-1] + rate_feature(steps[:, -1]) * self.weights[-1] + self.bias
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
@@ -280,34 +327,38 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("value"))
     )
     fixed = [hashed(entry) for entry in LEXICONS.values()]
-    found = learned_words(docs, known, doc_id, text)
-    dealt = [found[found % np.uint64(LEARNED) == np.uint64(k)] for k in range(LEARNED)]
-    voters = Voters([*fixed, *dealt])
+    found, odds = learned_odds(docs, known, doc_id, text)
+    dealt = [found % np.uint64(LEARNED) == np.uint64(k) for k in range(LEARNED)]
+    voters = Voters([*fixed, *(found[d] for d in dealt)], [odds[d] for d in dealt], np.full(LEARNED, MOST_STEPS))
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(voters)
+    parts = [f"part{k}" for k in range(LEARNED)]
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [
-                sent.value.votes(part)[0].astype(np.int64) @ (1 << np.arange(sent.value.number))
-                for part in slices(batch.column(1))
-            ]
+            found = [sent.value.votes(part)[:2] for part in slices(batch.column(1))]
+            codes = [votes.astype(np.int64) @ (1 << np.arange(sent.value.number)) for votes, _ in found]
+            steps = np.concatenate([np.empty((0, LEARNED + 1), np.int64), *(s for _, s in found)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate([np.empty(0, np.int64), *codes]))], ["doc_id", "votes"]
+                [batch.column(0), pa.array(np.concatenate([np.empty(0, np.int64), *codes])), *map(pa.array, steps.T[:-1])],
+                ["doc_id", "votes", *parts],
             )
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    cast = cut(rows.mapInArrow(vote, "doc_id bigint, votes bigint"))
+    measured = cut(rows.mapInArrow(measure, "doc_id bigint, votes bigint, " + ", ".join(f"{p} bigint" for p in parts)))
+    measured = lookup_join(measured, known, ["doc_id"])
+    voters.cuts = _cuts(measured.filter("value <= 0"), parts)
+    bits = [F.when(F.col(p) > int(c), 1 << len(fixed) + k).otherwise(0) for k, (p, c) in enumerate(zip(parts, voters.cuts, strict=True))]
+    cast = measured.select("doc_id", "value", sum(bits, F.col("votes")).alias("votes"))
     counted = (
-        lookup_join(cast, known, ["doc_id"])
-        .groupBy("votes", F.coalesce("value", F.lit(-1.0)).alias("value"))
+        cast.groupBy("votes", F.coalesce("value", F.lit(-1.0)).alias("value"))
         .count()
         .orderBy("votes", "value")
         .collect()
     )
     codes = np.array([r[0] for r in counted], np.int64)
     patterns = (codes[:, None] >> np.arange(voters.number)) & 1
-    lexical = patterns[:, : len(voters.lexicons)].sum(1)
+    lexical = patterns[:, : -len(PATTERNS)].sum(1)
     model = LabelModel.fit(
         patterns,
         np.array([r[2] for r in counted], float),
@@ -318,10 +369,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     post = model.posterior((distinct[:, None] >> np.arange(voters.number)) & 1)
     # The posterior follows from the pattern, of which there are at most 2^voters.
     posterior = spark.createDataFrame(
-        [(int(c), float(p), bool(p >= 0.5)) for c, p in zip(distinct, post, strict=True)],
-        "votes bigint, value double, high boolean",
+        [(int(c), float(p)) for c, p in zip(distinct, post, strict=True)],
+        "votes bigint, posterior double",
     )
-    judged = cast.join(F.broadcast(posterior), "votes").filter("doc_id IS NOT NULL").select("doc_id", "value", "high")
+    judged = cast.join(F.broadcast(posterior), "votes").filter("doc_id IS NOT NULL")
+    judged = judged.select("doc_id", F.coalesce((F.col("value") > 0).cast("double"), "posterior").alias("value"))
+    judged = judged.withColumn("high", F.col("value") >= 0.5)
     shares = dict(judged.groupBy("high").count().collect())
     ids = _smallest(judged.dropDuplicates(["doc_id"]), "high", TRAINING_ROWS).select("doc_id", "value")
     chosen = _collected(docs, ids, doc_id, text, voters)
@@ -332,14 +385,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     # Words that do not go with the labels would add noise with the length of a text.
     telling = np.zeros(SLOTS, bool)
     telling[names[np.abs(z) > SLOT_Z].astype(np.int64)] = True
+    size = SLOTS + voters.number + 1
     columns = [
-        np.concatenate([s[telling[s]], SLOTS + np.flatnonzero(np.frombuffer(r[1], np.uint8))])
+        np.concatenate([s[telling[s]], SLOTS + np.flatnonzero(np.frombuffer(r[1], np.uint8)), [size - 1]])
         for s, r in zip(slots, chosen, strict=True)
     ]
+    rates = rate_feature(np.array([r[3] for r in chosen]))
+    values = [np.append(np.ones(len(c) - 1), rate) for c, rate in zip(columns, rates, strict=True)]
     weight = np.where(high, shares.get(True, 0) / max(1, high.sum()), shares.get(False, 0) / max(1, (~high).sum()))
     if not len(chosen):
-        return ToxicityModel(voters, model, np.zeros(SLOTS + voters.number), -3.0)
-    weights, bias = fit_logistic(SparseRows(columns), target, SLOTS + voters.number, weight=weight)
+        return ToxicityModel(voters, model, np.zeros(size), -3.0)
+    weights, bias = fit_logistic(SparseRows(columns, values), target, size, weight=weight)
     return ToxicityModel(voters, model, weights, bias)
 
 

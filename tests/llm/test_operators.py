@@ -261,6 +261,25 @@ def test_toxic_words_are_counted_over_all_labels(spark):
     assert scores[5] > scores[5000] and scores[20_000] == scores[20_001]
 
 
+def test_toxic_words_weigh_by_the_length_of_a_text(spark):
+    """Long clean texts hold as many toxic words as short toxic ones; who has more of them per word is toxic."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(1200):
+        bad = k % 6 == 0
+        size, hits = (rng.randint(40, 80), 5) if bad else (rng.randint(300, 900), rng.randint(1, 8))
+        text = [f"w{rng.randrange(300)}" for _ in range(size)] + [f"bad{rng.randrange(60)}" for _ in range(hits)]
+        rng.shuffle(text)
+        rows.append((k, " ".join(text), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held = F.floor(F.col("doc_id") / 6) % 4 == 1
+    model = toxicity.train(docs, docs.filter(~held).select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model).filter(held).collect()
+    bad, good = ([r["score"] for r in scored if r["toxic"] == t] for t in (1, 0))
+    assert len(bad) == 50 and np.mean(np.array(bad) > np.quantile(good, 0.9)) > 0.95
+    assert min(bad) >= 0 and max(bad + good) <= 1
+
+
 def test_top_k_leaves_bad_vectors_out(spark):
     rng = np.random.default_rng(2)
     vectors = [rng.normal(size=6).tolist() for _ in range(60)] + [None, [float("nan")] * 6, [None] * 6]
