@@ -376,7 +376,7 @@ def train_round(batches: DataFrame, model: Model, share: int, shares: int) -> Mo
         )
 
     tasks = mine.rdd.getNumPartitions()
-    sums = cut(mine.mapInArrow(learn, "segment int, task int, change binary"))
+    sums = mine.mapInArrow(learn, "segment int, task int, change binary")
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(c, np.float32).astype(float) for c in group["change"])
@@ -384,10 +384,13 @@ def train_round(batches: DataFrame, model: Model, share: int, shares: int) -> Mo
             {"segment": [group["segment"].iloc[0]], "task": [group["task"].iloc[0]], "change": [total.astype(np.float32).tobytes()]}
         )
 
-    while tasks > 1:
+    # A task's change is as large as the model, so only sums are stored; what the tasks made goes to them by the exchange alone.
+    while True:
         tasks = -(-tasks // FAN_IN)
         grouped = sums.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int"))
         sums = cut(grouped.groupBy("segment", "task").applyInPandas(add, "segment int, task int, change binary"))
+        if tasks <= 1:
+            break
     flat = np.concatenate([np.frombuffer(r[2], np.float32) for r in sums.orderBy("segment").collect()] or [np.empty(0)])
     if not len(flat):
         return model
@@ -419,15 +422,25 @@ def fit(batches: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
 
 
 def score_batches(batches: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
-    # Each batch gets the counts of its own words: as many rows as it has distinct words.
+    # Each batch gets the counts of its own words, as many rows as it has distinct words, and the ranks of the common ones.
+    spark = batches.sparkSession
     asked = batches.select("batch", F.posexplode("words").alias("place", "word"))
+    ranks = [(w, k) for k, w in enumerate(model.common) if k != model.end_rank]
+    ranked = counts.join(F.broadcast(spark.createDataFrame(ranks, "word string, rank int")), "word", "left")
     known = (
-        asked.join(counts, "word")
+        asked.join(ranked, "word")
         .groupBy("batch")
-        .agg(F.collect_list("place").alias("places"), F.collect_list("c").alias("counts"))
+        .agg(
+            F.collect_list("place").alias("places"),
+            F.collect_list("c").alias("counts"),
+            F.collect_list(F.when(F.col("rank").isNotNull(), F.col("place"))).alias("common"),
+            F.collect_list("rank").alias("ranks"),
+        )
     )
-    ready = batches.select("batch", "doc_ids", "lengths", "low", "high", "words").join(known, "batch", "left").drop("batch")
-    sent = batches.sparkSession.sparkContext.broadcast(model)
+    # The words stay behind; their checksums, less 2^31 to be ints, go with the tokens.
+    hashes = F.transform("words", lambda w: (F.crc32(w.cast("binary")) - F.lit(1 << 31)).cast("int")).alias("hashes")
+    ready = batches.select("batch", "doc_ids", "lengths", "low", "high", hashes).join(known, "batch", "left").drop("batch")
+    sent = spark.sparkContext.broadcast(model)
 
     def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -436,16 +449,16 @@ def score_batches(batches: DataFrame, counts: DataFrame, model: Model) -> DataFr
             for k in range(frame.num_rows):
                 ids, lengths = frame.column(0)[k].values, frame.column(1)[k].values.to_numpy()
                 codes = unpacked(frame.column(2)[k], frame.column(3)[k])
-                vocabulary = frame.column(4)[k].values
-                count = np.zeros(len(vocabulary) + 1)
+                word = np.append(frame.column(4)[k].values.to_numpy().astype(np.int64) + (1 << 31), zlib.crc32(END)).astype(np.uint64)
+                count, rank = np.zeros(len(word)), np.full(len(word), own.tail)
                 if frame.column(5)[k].is_valid:
-                    count[frame.column(5)[k].values.to_numpy()] = frame.column(6)[k].values.to_numpy()
-                count[-1] = own.end_count
+                    places, counted, common, ranks = (frame.column(c)[k].values.to_numpy() for c in range(5, 9))
+                    count[places], rank[common] = counted, ranks
+                count[-1], rank[-1] = own.end_count, own.end_rank if own.end_rank >= 0 else own.tail
                 token_count = count[codes]
                 starts = np.cumsum(lengths) - lengths
                 first = np.zeros(len(codes), bool)
                 first[starts] = True
-                rank, word = own.ids(vocabulary)
                 natural = own.log_probabilities(rank[codes], word[codes], token_count, first)
                 base = np.log10((token_count + 0.5) / (own.total + 0.5 * (own.distinct + 1)))
                 yield pa.RecordBatch.from_arrays(

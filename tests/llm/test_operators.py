@@ -280,6 +280,48 @@ def test_toxic_words_weigh_by_the_length_of_a_text(spark):
     assert min(bad) >= 0 and max(bad + good) <= 1
 
 
+def test_training_stores_sums_only(spark, monkeypatch):
+    """What each task made of the model is added up without being stored first."""
+    docs = spark.createDataFrame([(k, f"a b c{k % 7} d", True) for k in range(60)], "doc_id long, text string, training boolean").repartition(5)
+    batches = maxent.batch_table(docs, "doc_id", "text", "training").repartition(5).checkpoint()
+    model = maxent.start_model(maxent.word_counts(batches), 60)
+    stored = []
+
+    def cut(df):
+        out = df.checkpoint()
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(maxent, "cut", cut)
+    moved = maxent.train_round(batches, model, 0, 1)
+    assert np.abs(moved.node_weights).sum() > 0 and stored == [maxent.SEGMENTS]
+
+
+def test_scoring_moves_no_words(spark, capsys):
+    """Tokens go to the counts of their words with checksums; unknown words are scored too."""
+    docs = spark.createDataFrame([(k, f"a b c{k % 7} d{k}", k % 3 > 0) for k in range(60)], "doc_id long, text string, training boolean")
+    batches = maxent.batch_table(docs.repartition(3), "doc_id", "text", "training")
+    counts = maxent.word_counts(batches)
+    model = maxent.fit(batches, counts, 1)
+    scored = maxent.score_batches(batches, counts, model)
+    scored.explain("formatted")
+    exchanges = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", capsys.readouterr().out)
+    assert [e for e in exchanges if "low#" in e] and not [e for e in exchanges if "low#" in e and "words#" in e]
+    # The same from the words themselves.
+    for row in batches.collect():
+        c = dict(counts.collect())
+        rank, word = model.ids(pa.array(row["words"], pa.string()))
+        count = np.array([*(c.get(w, 0) for w in row["words"]), model.end_count], float)
+        codes = np.frombuffer(row["low"], "<u2").astype(int)
+        starts = np.cumsum(row["lengths"]) - row["lengths"]
+        first = np.zeros(len(codes), bool)
+        first[starts] = True
+        natural = model.log_probabilities(rank[codes], word[codes], count[codes], first)
+        wanted = dict(zip(row["doc_ids"], np.add.reduceat(natural, starts) / np.log(10), strict=True))
+        got = {r["doc_id"]: r["score"] for r in scored.collect() if r["doc_id"] in wanted}
+        assert got == pytest.approx(wanted, rel=1e-12)
+
+
 def test_top_k_leaves_bad_vectors_out(spark):
     rng = np.random.default_rng(2)
     vectors = [rng.normal(size=6).tolist() for _ in range(60)] + [None, [float("nan")] * 6, [None] * 6]
