@@ -219,7 +219,7 @@ def test_sweeps_cycle(spark, tmp_path):
     tables.corpus.stub_log.put(spark.createDataFrame([stub("d", 1, DAY, 0)[:-1]], log), 0)
     tables.corpus.build()
     assert sweeps(70, "5") == [] and all(r["swept"] for r in work.units().collect())
-    fetched = spark.createDataFrame([submission(2, 1, 0)[:-1]], SUBMISSION_LOG.rpartition(",")[0])
+    fetched = spark.createDataFrame([submission(2, 1, 0)], SUBMISSION_LOG).drop("batch")
     tables.corpus.submission_log.put(fetched, 0)
     tables.corpus.build()
     assert sweeps(71, "6", 3) == [(1, "incremental"), (2, "incremental"), (3, "incremental")]
